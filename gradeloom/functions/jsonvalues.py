@@ -18,6 +18,11 @@ def field(value: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(value, path, kind)
 
 
+def as_variant(df: DataFrame, column: str) -> Column:
+    """A JSON column as VARIANT, whether it is stored as text or as VARIANT."""
+    return _variant(F.col(column)) if dict(df.dtypes)[column] == "string" else F.col(column)
+
+
 def with_document(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add the VARIANT of a text column that holds exactly one JSON document, else NULL.
 
