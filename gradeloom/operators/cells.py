@@ -89,7 +89,7 @@ def cell_cube(results: DataFrame) -> DataFrame:
     fine = cells(results)
     return with_rates(fine.sparkSession.sql(
         f"SELECT task_category, model, lever, grouping_id(task_category, model, lever) AS grain, {sums} FROM {{fine}} "
-        "GROUP BY GROUPING SETS ((model, lever), (task_category, lever), (task_category, model, lever))",
+        "GROUP BY GROUPING SETS ((task_category, model, lever), (task_category, lever), (model, lever))",
         fine=fine,
     ))
 

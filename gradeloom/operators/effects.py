@@ -118,7 +118,8 @@ def warm_calls(calls: DataFrame, ttl: int = K.CACHE_LIFETIME_SECONDS, key: list[
     one row per bucket crosses over.
     """
     key = list(key)
-    df = calls.withColumn("_b", F.floor(F.unix_micros(ts) / F.lit(ttl * 1_000_000)))
+    df = calls.withColumn(ts, F.col(ts).cast("timestamp"))
+    df = df.withColumn("_b", F.floor(F.unix_micros(ts) / F.lit(ttl * 1_000_000)))
     w = Window.partitionBy(*key, "_b").orderBy(ts, tie)
     df = df.withColumn("_prev", F.lag(ts).over(w))
     last = df.groupBy(*key, "_b").agg(F.max(ts).alias("_last")).withColumn("_b", F.col("_b") + 1)

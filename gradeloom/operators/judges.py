@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gradeloom import constants as K
 from gradeloom.functions import jsonvalues as J, scores as S, text as T
 from gradeloom.operators.cells import judgeable
+from gradeloom.session import pinned
 
 GROUP = ["run_id", "prompt_id", "lever"]
 
@@ -111,10 +112,11 @@ def parse_reply(df: DataFrame, raw: str = "raw_text", labels: list[str] = K.POSI
     reasoning = F.array(*[F.when(J.kind_of(v) == "str", v.try_cast("string")) for v in said])
     good = F.col("parse_error").isNull()
     names = F.array(*map(F.lit, labels))
-    return df.withColumns({
-        "scores": F.when(good, F.map_from_arrays(names, F.transform(F.col("_seen"), lambda p: p["score"]))),
-        "reasonings": F.when(good, F.map_from_arrays(names, reasoning)),
-    }).drop("_body", "_doc", "_seen")
+    keep = [c for c in df.columns if c not in ("_body", "_doc", "_seen", "parse_error")]
+    return pinned(
+        df, keep, parse_error=F.col("parse_error"),
+        scores=F.when(good, F.map_from_arrays(names, F.transform(F.col("_seen"), lambda p: p["score"]))),
+        reasonings=F.when(good, F.map_from_arrays(names, reasoning)))
 
 
 def explode_judge_replies(replies: DataFrame, labels: list[str] = K.POSITION_LABELS) -> DataFrame:

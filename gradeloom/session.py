@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Runtime settings the operators rely on; every one may be set on a running session.
 SETTINGS = {
@@ -43,3 +43,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors and pins values such as partition numbers."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def pinned(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """Keep some columns and add computed ones that later steps cannot be rewritten through.
+
+    Filters on a computed column are normally pushed below its projection, with the whole
+    expression copied into the filter; on long chains of projections those copies multiply.
+    A one-row ``explode`` evaluates the columns once per row and stops the rewrite.
+    """
+    values = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select(*keep, F.explode(F.array(values)).alias("_pin")).select(*keep, "_pin.*")
