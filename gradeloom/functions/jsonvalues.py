@@ -23,36 +23,37 @@ def as_variant(df: DataFrame, column: str) -> Column:
     return _variant(F.col(column)) if dict(df.dtypes)[column] == "string" else F.col(column)
 
 
-def with_document(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add the VARIANT of a text column that holds exactly one JSON document, else NULL.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a Column so that an expression using it several times computes it once per row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def document(text: Column) -> Column:
+    """VARIANT of a text that holds exactly one JSON document, else NULL.
 
     Spark's parser stops after the first document and ignores what follows.  Parsing the
     text as a list item (or, for a list, as a field) exposes trailing content: it breaks the
     wrapper or adds a second item.  Only content that opens with the wrapper's own closer
     slips through, so texts where that could be are parsed in the other wrapper as well.
     """
-    t = F.col(text)
-    is_list = t.startswith("[")
+    is_list = text.startswith("[")
     doubtful = (
-        F.when(is_list, t.rlike(r"\]\s*[},]"))
-        .when(t.startswith("{"), t.rlike(r"\}\s*\]"))
-        .otherwise(t.contains("]"))
+        F.when(is_list, text.rlike(r"\]\s*[},]"))
+        .when(text.startswith("{"), text.rlike(r"\}\s*\]"))
+        .otherwise(F.contains(text, F.lit("]")))
     )
-    # own projection per step, so that no parse is repeated
-    df = df.withColumn("_doubtful", doubtful)
-    df = df.withColumns({
-        "_in_list": F.when(~is_list | F.col("_doubtful"), _variant(F.concat(F.lit("["), t, F.lit("]")))),
-        "_in_object": F.when(is_list | F.col("_doubtful"), _variant(F.concat(F.lit('{"v":'), t, F.lit("}")))),
-    })
-    alone = field(F.col("_in_list"), "$[1]").isNull()
-    both = F.col("_in_list").isNotNull() & F.col("_in_object").isNotNull() & alone
-    found = F.when(is_list, field(F.col("_in_object"), "$.v")).when(alone, field(F.col("_in_list"), "$[0]"))
-    return df.withColumn(out, F.when(~F.col("_doubtful") | both, found)).drop("_doubtful", "_in_list", "_in_object")
 
+    def parse(sure: Column) -> Column:
+        in_list = F.when(~is_list | ~sure, _variant(F.concat(F.lit("["), text, F.lit("]"))))
+        in_object = F.when(is_list | ~sure, _variant(F.concat(F.lit('{"v":'), text, F.lit("}"))))
+        return let(F.struct(in_list.alias("l"), in_object.alias("o"), sure.alias("sure")), pick)
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind a Column so that an expression using it several times computes it once per row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    def pick(w: Column) -> Column:
+        alone = field(w["l"], "$[1]").isNull()
+        found = F.when(is_list, field(w["o"], "$.v")).when(alone, field(w["l"], "$[0]"))
+        return F.when(w["sure"] | (w["l"].isNotNull() & w["o"].isNotNull() & alone), found)
+
+    return F.when(text.isNotNull(), let(~doubtful, parse))
 
 
 def kind_of(value: Column) -> Column:

@@ -92,7 +92,8 @@ def build_judge_requests(results: DataFrame, prompts: DataFrame, models: list[st
 def parse_reply(df: DataFrame, raw: str = "raw_text", labels: list[str] = K.POSITION_LABELS) -> DataFrame:
     """Add ``scores`` (label -> score), ``reasonings`` (label -> text) and ``parse_error`` to judge replies."""
     body = T.outer_braces(T.unfence(T.strip(F.col(raw)), K.JUDGE_FENCE_PATTERN))
-    df = J.with_document(df.withColumn("_body", body), "_body", "_doc")
+    df = df.withColumn("_body", body)
+    df = df.withColumn("_doc", J.document(F.col("_body")))
     values = F.array(*[F.struct(F.lit(x).alias("label"), J.field(F.col("_doc"), f"$.{x}").alias("v")) for x in labels])
     seen = F.transform(values, lambda p: F.struct(
         p["label"].alias("label"), J.kind_of(p["v"]).alias("kind"), p["v"].try_cast("double").alias("score")))

@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     # HotSpot leaves methods above 8000 bytecodes interpreted; past that, compile per expression
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # lower-casing through the JVM has a fast path for ASCII text
+    "spark.sql.icu.caseMappings.enabled": "false",
 }
 
 
