@@ -11,7 +11,8 @@ from gradeloom.functions import text as T
 
 
 def _variant(text: Column) -> Column:
-    return F.from_json(text, "variant")
+    # the quick parser refuses NaN and infinities, which the other one reads as numbers
+    return F.when(text.rlike("NaN|Infinity"), F.from_json(text, "variant")).otherwise(F.try_parse_json(text))
 
 
 def field(value: Column, path: str, kind: str = "variant") -> Column:
@@ -42,18 +43,21 @@ def document(text: Column) -> Column:
         .when(text.startswith("{"), text.rlike(r"\}\s*\]"))
         .otherwise(F.contains(text, F.lit("]")))
     )
+    as_item, as_field = F.concat(F.lit("["), text, F.lit("]")), F.concat(F.lit('{"v":'), text, F.lit("}"))
 
-    def parse(sure: Column) -> Column:
-        in_list = F.when(~is_list | ~sure, _variant(F.concat(F.lit("["), text, F.lit("]"))))
-        in_object = F.when(is_list | ~sure, _variant(F.concat(F.lit('{"v":'), text, F.lit("}"))))
-        return let(F.struct(in_list.alias("l"), in_object.alias("o"), sure.alias("sure")), pick)
+    def only(items: Column) -> Column:
+        return F.when(field(items, "$[1]").isNull(), field(items, "$[0]"))
 
-    def pick(w: Column) -> Column:
-        alone = field(w["l"], "$[1]").isNull()
-        found = F.when(is_list, field(w["o"], "$.v")).when(alone, field(w["l"], "$[0]"))
-        return F.when(w["sure"] | (w["l"].isNotNull() & w["o"].isNotNull() & alone), found)
+    def both(w: Column) -> Column:
+        return F.when(w["o"].isNotNull(), only(w["l"]))
 
-    return F.when(text.isNotNull(), let(~doubtful, parse))
+    # an object whose only closing brace is its last character cannot end early; most answers are such
+    closed = F.when(text.startswith("{"), F.instr(text, "}") == F.length(text)).when(is_list, F.instr(text, "]") == F.length(text))
+    # telling these apart is far cheaper than letting the parser raise
+    broken = text.startswith("{") & ~(text.endswith("}") & text.rlike(r"^\{\s*[\"}]"))
+    careful = let(F.struct(_variant(as_item).alias("l"), _variant(as_field).alias("o")), both)
+    return (F.when(text.isNull() | broken, F.lit(None).cast("variant")).when(closed, _variant(text)).when(doubtful, careful)
+            .when(is_list, field(_variant(as_field), "$.v")).otherwise(let(_variant(as_item), only)))
 
 
 def kind_of(value: Column) -> Column:

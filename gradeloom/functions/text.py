@@ -32,24 +32,20 @@ def unfence(text: Column, pattern: str = K.FENCE_PATTERN) -> Column:
     return F.when(fenced, strip(F.regexp_extract(text, pattern, 1))).otherwise(text)
 
 
-def _last_position(text: Column, char: str) -> Column:
-    # substring_index(.., -1) is what follows the last hit, or the whole text without one
-    return F.length(text) - F.length(F.substring_index(text, char, -1))
+def _extract(text: Column, pattern: str) -> Column:
+    found = F.regexp_extract(text, pattern, 1)
+    return F.when(found != "", found)
 
 
 def outer_json(text: Column) -> Column:
     """Slice from the first opening bracket to the last closer of its kind; the text if there is none."""
-    brace, bracket = F.instr(text, "{"), F.instr(text, "[")
-    braced = (brace > 0) & ((bracket == 0) | (brace < bracket))
-    start = F.when(braced, brace).otherwise(bracket)
-    end = F.when(braced, _last_position(text, "}")).otherwise(_last_position(text, "]"))
-    return F.when((start > 0) & (end > start), F.substring(text, start, end - start + 1)).otherwise(text)
+    whole = (text.startswith("{") & text.endswith("}")) | (text.startswith("[") & text.endswith("]"))
+    return F.when(whole, text).otherwise(F.coalesce(_extract(text, r"(?s)^[^\[{]*+(\{.*\}|\[.*\])"), text))
 
 
 def outer_braces(text: Column) -> Column:
     """Slice from the first ``{`` to the last ``}``; NULL if there is no such span."""
-    start, end = F.instr(text, "{"), _last_position(text, "}")
-    return F.when((start > 0) & (end > start), F.substring(text, start, end - start + 1))
+    return F.when(text.startswith("{") & text.endswith("}"), text).otherwise(_extract(text, r"(?s)^[^{]*+(\{.*\})"))
 
 
 def plain_quotes(text: Column) -> Column:

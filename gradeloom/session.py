@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # joins whose build side turns out small per partition skip the sort; checked at run time
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     # a JSON object that repeats a key keeps the last value, as common JSON readers do
     "spark.sql.variant.allowDuplicateKeys": "true",
     # HotSpot leaves methods above 8000 bytecodes interpreted; past that, compile per expression
