@@ -44,6 +44,6 @@ def infer(df: DataFrame, call, schema: str) -> DataFrame:
             except Exception as e:  # the failure is data
                 out = batch.reindex(columns=names).copy()
                 out["error"] = f"{type(e).__name__}: {e}"
-            yield pd.DataFrame(out).reindex(columns=names)
+            yield pd.DataFrame(out).reindex(columns=names).astype(object)
 
     return df.mapInPandas(run, schema)
