@@ -59,13 +59,10 @@ def spot_check(results: DataFrame, k: int, seed: int = 0) -> DataFrame:
 
 def judge_summary(scores: DataFrame, fx: float = K.GBP_USD_RATE, slices: int | None = None) -> DataFrame:
     """Rows, errors, cost and exact latency percentiles of each judge."""
-    sums = scores.groupBy("judge").agg(
-        F.count(F.lit(1)).alias("n_scored"), F.count_if(F.col("judge_error").isNotNull()).alias("n_errors"),
-        F.sum("cost_usd").alias("cost_usd"))
     ranks = {"p50_ms": F.floor(F.col("n") / 2), "p95_ms": F.floor(F.col("n") * F.lit(0.95))}
-    called = scores.where(F.col("latency_ms").isNotNull())
-    lat = nearest_rank(called, "latency_ms", ranks, ["judge"], slices).drop("n")
-    return sums.join(lat, "judge", "left").withColumn("cost_gbp", S.to_gbp(F.col("cost_usd"), fx))
+    also = {"n_errors": F.count_if(F.col("judge_error").isNotNull()), "cost_usd": F.sum("cost_usd")}
+    df = nearest_rank(scores, "latency_ms", ranks, ["judge"], slices, also)
+    return df.withColumnRenamed("n", "n_scored").withColumn("cost_gbp", S.to_gbp(F.col("cost_usd"), fx))
 
 
 def score_range(scores: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gradeloom import constants as K
 from gradeloom.operators.cells import lever_ratios
-from gradeloom.operators.ordered import median_ranks, nearest_rank
+from gradeloom.operators.ordered import nearest_rank, range_ranks
 
 PAIR = ["run_id", "prompt_id", "model"]
 
@@ -61,10 +61,9 @@ def cache_effects(results: DataFrame, by: list[str] = ("model",), slices: int |
     n = m.groupBy(*by).agg(F.count_if(ok).alias("n_available"), F.count_if(~ok).alias("n_unavailable"))
     names = ["cost_write_mult", "cost_read_mult", "latency_write_mult", "latency_read_mult"]
     long = m.where(ok).unpivot(by, names, "measure", "value")
-    ends = long.groupBy(*by, "measure").agg(F.min("value").alias("min"), F.max("value").alias("max"))
-    mid = nearest_rank(long, "value", median_ranks(), [*by, "measure"], slices)
-    mid = mid.select(*by, "measure", ((F.col("_low") + F.col("_high")) / 2).alias("median"))
-    return n.join(ends.join(mid, [*by, "measure"]), by, "left")
+    stats = nearest_rank(long, "value", range_ranks(), [*by, "measure"], slices)
+    stats = stats.select(*by, "measure", "min", "max", ((F.col("_low") + F.col("_high")) / 2).alias("median"))
+    return n.join(stats, by, "left")
 
 
 def skip_reasons(results: DataFrame, by: list[str] = ("model",)) -> DataFrame:
@@ -148,7 +147,5 @@ def ratio_summary(results: DataFrame, by: list[str] = ("lever",), slices: int |
     """Minimum, exact median and maximum of every row-level lever / baseline ratio."""
     by = list(by)
     long = lever_ratios(results).unpivot(by, ["cost_mult", "input_mult", "output_mult", "latency_mult"], "measure", "value")
-    long = long.where(F.col("value").isNotNull())
-    ends = long.groupBy(*by, "measure").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("min"), F.max("value").alias("max"))
-    mid = nearest_rank(long, "value", median_ranks(), [*by, "measure"], slices).drop("n")
-    return ends.join(mid, [*by, "measure"]).withColumn("median", (F.col("_low") + F.col("_high")) / 2).drop("_low", "_high")
+    stats = nearest_rank(long, "value", range_ranks(), [*by, "measure"], slices)
+    return stats.withColumn("median", (F.col("_low") + F.col("_high")) / 2).drop("_low", "_high")

@@ -53,22 +53,25 @@ def position(df: DataFrame, by: list[str], order: list[Column], name: str = "pos
 
 
 def nearest_rank(df: DataFrame, column: str, points: dict[str, Column], by: list[str],
-                 slices: int | None = None) -> DataFrame:
+                 slices: int | None = None, also: dict[str, Column] | None = None) -> DataFrame:
     """Exact ranked values: for each ``{name: rank}`` the value at that 0-based rank of its group.
 
-    A rank is an expression over the group size ``n``.  Values are first counted, so that the
-    ordered step sees every distinct value once.
+    A rank is an expression over the group size ``n``.  The rows are read once: they are first
+    counted per distinct value, with the additive aggregates in ``also`` (``{name: sum or
+    count}``), and everything else comes from those counts.
     """
     if not by:
-        return nearest_rank(df.withColumn("_all", F.lit(0)), column, points, ["_all"], slices).drop("_all")
+        return nearest_rank(df.withColumn("_all", F.lit(0)), column, points, ["_all"], slices, also).drop("_all")
+    extra = also or {}
     present = df.where(F.col(column).isNotNull())
-    counted = present.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"))
+    counted = present.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"), *[c.alias(name) for name, c in extra.items()])
     upto = running_total(counted, by, [F.col(column)], {"_upto": F.col("_n")}, slices)
-    n = counted.groupBy(*by).agg(F.sum("_n").alias("n"))
-    rows = upto.join(n, by)
+    totals = upto.groupBy(*by).agg(F.sum("_n").alias("n"), *[F.sum(name).alias(name) for name in extra])
+    rows = upto.drop(*extra).join(totals, by)
     holds = lambda rank: (F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank)
     return rows.groupBy(*by).agg(
-        F.max("n").alias("n"), *[F.max(F.when(holds(rank), F.col(column))).alias(name) for name, rank in points.items()])
+        F.max("n").alias("n"), *[F.max(name).alias(name) for name in extra],
+        *[F.max(F.when(holds(rank), F.col(column))).alias(name) for name, rank in points.items()])
 
 
 def median_ranks() -> dict[str, Column]:
@@ -77,6 +80,11 @@ def median_ranks() -> dict[str, Column]:
     return {"_low": F.floor((n - 1) / 2), "_high": F.floor(n / 2)}
 
 
+def range_ranks() -> dict[str, Column]:
+    """Ranks of the ends and of the two middle values."""
+    return {"min": F.lit(0), "max": F.col("n") - 1, **median_ranks()}
+
+
 def exact_median(df: DataFrame, column: str, by: list[str], name: str = "median", slices: int | None = None) -> DataFrame:
     ranked = nearest_rank(df, column, median_ranks(), by, slices)
     return ranked.withColumn(name, (F.col("_low") + F.col("_high")) / 2).drop("_low", "_high")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gradeloom import constants as K
 from gradeloom.functions import text as T
 from gradeloom.operators import cells as C, effects, frontier as P
+from gradeloom.session import checkpointed
 
 RATES = ["pass_rate_all", "pass_rate_applicable"]
 
@@ -65,9 +66,10 @@ def findings(results: DataFrame, first: str = K.TEST_MODELS[0], second: str = K.
     """Long table (name, value, label) of everything a report cites.
 
     All of it comes from the (category, model, lever) cells and, for the pass-set overlap, from
-    one grouping of the rows.  Pass a stored ``cell_table`` to read the rows only for the latter.
+    one grouping of the rows.  The cells are few and are checkpointed, so that the many parts
+    below do not read the rows again; pass a stored ``cell_table`` to skip even that.
     """
-    fine = C.cells(results) if cell_table is None else cell_table
+    fine = checkpointed(C.cells(results)) if cell_table is None else cell_table
     fine_rates = C.with_rates(fine)
     by_model = model_cells(fine)
     matrix = C.vs_baseline(by_model, ["model"])
