@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import exact_dedup
+from gradeloom.llm import exact_dedup, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,3 +38,54 @@ ranked AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM ranked""")
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(table(spark, sf_dir, "documents")).drop("n_points")
+
+
+@query("op10_quality_rules", r"""
+WITH base AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text, row_number() OVER () AS r,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+windows AS (
+  SELECT r, unnest(list_transform(range(1, len(words) - 1), lambda i: {'i': i, 'w': words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]})) AS x FROM base),
+twice AS (SELECT r, x.i AS i, count(*) OVER (PARTITION BY r, x.w) AS c FROM windows),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twice WHERE c > 1) GROUP BY r),
+rows AS (
+  SELECT base.r, doc_id, lang, source, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         coalesce(n, 0) AS n_repeat_words
+  FROM base LEFT JOIN covered ON base.r = covered.r),
+judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         {'symbol_share': n_symbols * 10000 // greatest(word_chars, 1), 'dup_line_share': n_dup_lines * 10000 // greatest(n_lines, 1),
+          'repeat_share': n_repeat_words * 10000 // greatest(n_words, 1)} AS m
+  FROM rows),
+long AS (
+  SELECT lang, source, unnest(['symbol_share', 'dup_line_share', 'repeat_share']) AS measure, unnest([m.symbol_share, m.dup_line_share, m.repeat_share]) AS v
+  FROM judged WHERE NOT base_failed),
+tops AS (
+  SELECT *, (v // w) * w + w - 1 AS top FROM (SELECT *, CAST(2 ** greatest(length(bin(v)) - 6, 0) AS BIGINT) AS w FROM long)),
+levels AS (
+  SELECT 0 AS level, lang, source, measure, top FROM tops UNION ALL SELECT 1, lang, NULL, measure, top FROM tops
+  UNION ALL SELECT 2, NULL, NULL, measure, top FROM tops),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY level, lang, source, measure ORDER BY top) AS k, count(*) OVER (PARTITION BY level, lang, source, measure) AS total
+  FROM levels),
+quartiles AS (
+  SELECT level, lang, source, measure, max(total) AS total, min(top) FILTER (k * 4 >= total) AS q1, min(top) FILTER (k * 4 >= total * 3) AS q3
+  FROM ranked GROUP BY ALL),
+fence AS (
+  SELECT level, lang, source, max(total) AS total, max(q3 + 3 * (q3 - q1) + 200) FILTER (measure = 'symbol_share') AS f1,
+         max(q3 + 3 * (q3 - q1) + 3000) FILTER (measure = 'dup_line_share') AS f2, max(q3 + 3 * (q3 - q1) + 2000) FILTER (measure = 'repeat_share') AS f3
+  FROM quartiles GROUP BY ALL),
+chosen AS (
+  SELECT a.lang, a.source, CASE WHEN a.total >= 50 THEN {'f1': a.f1, 'f2': a.f2, 'f3': a.f3} WHEN b.total >= 50 THEN {'f1': b.f1, 'f2': b.f2, 'f3': b.f3}
+                                ELSE {'f1': c.f1, 'f2': c.f2, 'f3': c.f3} END AS f
+  FROM fence a JOIN fence b ON b.level = 1 AND a.lang IS NOT DISTINCT FROM b.lang JOIN fence c ON c.level = 2 WHERE a.level = 0)
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND m.symbol_share <= coalesce(f.f1, m.symbol_share) AND m.dup_line_share <= coalesce(f.f2, m.dup_line_share)
+         AND m.repeat_share <= coalesce(f.f3, m.repeat_share) AS kept
+FROM judged LEFT JOIN chosen ON judged.lang IS NOT DISTINCT FROM chosen.lang AND judged.source IS NOT DISTINCT FROM chosen.source""")
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
