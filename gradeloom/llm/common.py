@@ -42,12 +42,6 @@ def fresh(df: DataFrame, *bases: str) -> list[str]:
     return out
 
 
-def uniform(*parts: Column | str | int) -> Column:
-    """A number in [0, 1) from the MD5 of the parts; NULL counts as the text ``null``."""
-    cols = [F.coalesce(p.cast("string"), F.lit("null")) if isinstance(p, Column) else F.lit(str(p)) for p in parts]
-    return hash52(F.concat_ws("|", *cols)) / F.lit(float(2**52))
-
-
 def hash52(text: Column) -> Column:
     """The first 13 hexadecimal digits of the MD5 of a text, as a long."""
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import exact_dedup, packing, quality_rules, url_rules
+from gradeloom.llm import exact_dedup, mixing, packing, quality_rules, url_rules
 
 #: The same vocabulary for the two libraries.
 TOKENIZER, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -117,3 +117,19 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_best_fit_packing")
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, RANKS)
+
+
+@query("op5_poisson_mixing", r"""
+WITH RECURSIVE sizes AS (SELECT source, count(*) AS n, pow(count(*), 0.5) AS w FROM documents GROUP BY source),
+rates AS (SELECT source, w * (CAST((SELECT sum(n) FROM sizes) AS DOUBLE) / (SELECT sum(w) FROM sizes)) / n AS rate FROM sizes),
+terms AS (
+  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rates UNION ALL
+  SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM terms WHERE k < ceil(rate + 12 * sqrt(rate) + 24)),
+ids AS (
+  SELECT row_number() OVER () AS r, *, coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || md5(coalesce(text, '')) AS same FROM documents),
+drawn AS (SELECT *, CAST('0x' || substr(md5('20|' || same || '|1'), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM ids),
+counted AS (SELECT r, count(*) AS n FROM drawn JOIN terms ON drawn.source IS NOT DISTINCT FROM terms.source AND c <= u GROUP BY r),
+copies AS (SELECT drawn.*, unnest(range(1, n + 1)) AS copy FROM drawn JOIN counted ON drawn.r = counted.r)
+SELECT doc_id, text, lang, source, n_chars, copy, CAST('0x' || substr(md5('20|' || same || '|copy|' || copy), 1, 13) AS BIGINT) AS shuffle_key FROM copies""")
+def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
