@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import exact_dedup, mixing, packing, quality_rules, url_rules
+from gradeloom.llm import exact_dedup, mixing, packing, quality_rules, token_counts, url_rules
 
 #: The same vocabulary for the two libraries.
 TOKENIZER, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -133,3 +133,8 @@ copies AS (SELECT drawn.*, unnest(range(1, n + 1)) AS copy FROM drawn JOIN count
 SELECT doc_id, text, lang, source, n_chars, copy, CAST('0x' || substr(md5('20|' || same || '|copy|' || copy), 1, 13) AS BIGINT) AS shuffle_key FROM copies""")
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op7_token_counts")
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
