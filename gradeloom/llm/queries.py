@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import exact_dedup, mixing, packing, quality_model, quality_rules, token_counts, url_rules
+from gradeloom.llm import exact_dedup, mixing, packing, quality_model, quality_rules, simhash, token_counts, url_rules
 
 #: The same vocabulary for the two libraries.
 TOKENIZER, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -143,3 +143,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_quality_model")
 def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("digest")
+
+
+@query("op8_simhash")
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.group(table(spark, sf_dir, "documents"))
