@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import exact_dedup, mixing, packing, quality_model, quality_rules, simhash, token_counts, url_rules
+from gradeloom.llm import exact_dedup, mixing, packing, quality_model, quality_rules, simhash, token_counts, url_rules, warc
 
 #: The same vocabulary for the two libraries.
 TOKENIZER, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -137,7 +137,7 @@ def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_token_counts")
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), TOKENIZER, RANKS)
 
 
 @query("op6_quality_model")
@@ -148,3 +148,18 @@ def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_simhash")
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group(table(spark, sf_dir, "documents"))
+
+
+@query("op1_warc", r"""
+WITH rows AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+firsts AS (SELECT html, min(page_id) AS first FROM rows GROUP BY html),
+coded AS (
+  SELECT page_id, strlen(rows.html) AS payload_bytes, first,
+         list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - i % 4 * 5 AS BIGINT)) % 32 + 1 AS BIGINT), 1)), 'string_agg', '') AS payload_digest
+  FROM rows JOIN firsts ON rows.html = firsts.html)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM coded""")
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(table(spark, sf_dir, "pages")), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
