@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gradeloom.llm.common import staged, text_or_empty
-from gradeloom.llm.tokens import tokenizer
+from gradeloom.llm.tokens import token_numbers, token_starts
 
 LONG, CHUNK, OVERLAP = 32_768, 16_384, 256
 #: Documents that the library encodes at a time.
@@ -52,13 +52,12 @@ def spans(n: int, chunk: int, overlap: int) -> Iterator[tuple[int, int]]:
         start = end - overlap
 
 
-def _count_whole(path: str):
+def _count_whole(path: str, ranks_path: str | None):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).encode_batch_fast
         for batch in batches:
             column, counts = batch.column(1), []
             for at in range(0, len(column), BATCH):
-                counts += [len(e) for e in encode(column.slice(at, BATCH).to_pylist(), add_special_tokens=False)]
+                counts += token_numbers(column.slice(at, BATCH).to_pylist(), path, ranks_path)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     return task
@@ -80,7 +79,7 @@ def _cut(chunk: int, overlap: int):
     return task
 
 
-def _encode_chunks(path: str, overlap: int):
+def _encode_chunks(path: str, ranks_path: str | None, overlap: int):
     """Tokens of each chunk, and for its head and tail the splicing places with the tokens before them."""
 
     def places(text: str, begin: int, end: int, starts: np.ndarray, base: int) -> list[tuple[int, int]]:
@@ -90,14 +89,12 @@ def _encode_chunks(path: str, overlap: int):
         return [(int(x) + base, int(n)) for x, n in zip(found[is_start], before[is_start], strict=True)]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
         kind = pa.map_(pa.int64(), pa.int64())
         for batch in batches:
             rows = []
             for x in batch.to_pylist():
                 text = x["body"]
-                encoded = t.encode(text, add_special_tokens=False)
-                starts = np.array([a for a, _ in encoded.offsets], dtype=np.int64)
+                starts = token_starts(text, path, ranks_path)
                 head = places(text, 0, overlap, starts, x["start"]) if x["number"] else []
                 tail = places(text, max(0, len(text) - overlap), len(text), starts, x["start"]) if x["number"] < x["last"] else []
                 rows.append((x["uid"], x["doc_id"], x["n_bytes"], x["number"], x["last"], len(starts), head, tail))
@@ -129,11 +126,12 @@ def rebuilt(chunks: DataFrame) -> DataFrame:
     return parts.select("doc_id", F.aggregate("parts", F.lit(""), overlap).alias("text"), "n_bytes")
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text",
+def count_tokens(docs: DataFrame, path: str, ranks_path: str | None = None, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text",
                  long: int = LONG, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
-    NULL and empty texts have no bytes and no tokens.  A tokenizer for which the splicing places
+    ``ranks_path`` names the same vocabulary in the format of a faster library, for texts on which
+    both are proven to agree.  NULL and empty texts have no bytes and no tokens.  A tokenizer for which the splicing places
     aren't proven encodes every text whole.  Each row counts for itself, repeated ones too, and
     NULL ids stay NULL.  Other columns are not read.  An empty table gives no rows.
     """
@@ -141,12 +139,12 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, doc_id: str = "
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole.alias("text"), F.octet_length(whole).cast("long").alias("n_bytes"))
     huge = F.lit(splits_at_spaces(path)) & (F.length("text") > long)
     counts = "doc_id long, n_bytes long, n_tokens long"
-    out = rows.where(~huge).mapInArrow(_count_whole(path), counts)
+    out = rows.where(~huge).mapInArrow(_count_whole(path, ranks_path), counts)
     left = rows.where(huge)
     while True:
         chunks = staged(left.mapInArrow(_cut(chunk, overlap), CHUNKS), "chunks")
         maps = "uid long, doc_id long, n_bytes long, number int, last int, n long, head map<long,long>, tail map<long,long>"
-        counted = staged(splice(chunks.repartition("uid", "number").mapInArrow(_encode_chunks(path, overlap), maps)), "spliced")
+        counted = staged(splice(chunks.repartition("uid", "number").mapInArrow(_encode_chunks(path, ranks_path, overlap), maps)), "spliced")
         out = out.unionByName(counted.where("n_tokens is not null").select("doc_id", "n_bytes", "n_tokens"))
         failed = counted.where("n_tokens is null").select("uid")
         if failed.isEmpty():
