@@ -23,7 +23,7 @@ MIN_GROUP = 50
 #: Values below 2**BITS have buckets of their own; above, buckets are 2**(1 - BITS) of their value wide.
 BITS = 6
 #: Measures in parts of 10,000 and the slack that a fence always leaves.
-SLACK = {"symbol_share": 200, "dup_line_share": 3000, "repeat_share": 2000}
+SLACK = {"symbol_share": 200, "dup_line_share": 4000, "repeat_share": 3000}
 
 
 def measures(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
@@ -87,9 +87,12 @@ def fences(counts: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     slack = F.create_map(*[F.lit(x) for pair in SLACK.items() for x in pair])[F.col("measure")]
     wide = quartiles.groupBy("level", "lang", "source").agg(
         F.max("total").alias("total"), *[F.max(F.when(F.col("measure") == m, F.col("q3") + FENCE * (F.col("q3") - F.col("q1")) + slack)).alias(m) for m in SLACK])
-    by = {k: wide.where(F.col("level") == k).select(*keys, F.struct("total", *SLACK).alias(f"l{k}")) for k, keys in ((0, ["lang", "source"]), (1, ["lang"]), (2, []))}
+    wide = staged(wide, "fences")
+    by = {k: wide.where(F.col("level") == k).select(*keys, F.struct("total", *SLACK).alias(f"l{k}")) for k, keys in ((0, ["lang", "source"]), (1, ["lang"]))}
     lang = by[1].withColumnRenamed("lang", "lang_1")
-    rows = by[0].join(lang, F.col("lang").eqNullSafe(F.col("lang_1")), "left").join(F.broadcast(by[2]))  # one row: the whole corpus
+    corpus = wide.where("level = 2").first()
+    rows = by[0].join(lang, F.col("lang").eqNullSafe(F.col("lang_1")), "left")
+    rows = rows.withColumn("l2", F.struct(*[F.lit(corpus[c] if corpus else None).cast("long").alias(c) for c in ("total", *SLACK)]))
     use = F.when(F.col("l0.total") >= min_group, F.col("l0")).when(F.col("l1.total") >= min_group, F.col("l1")).otherwise(F.col("l2"))
     return rows.select("lang", "source", use.alias("f")).select("lang", "source", *[F.col(f"f.{m}").alias(f"{m}_fence") for m in SLACK])
 

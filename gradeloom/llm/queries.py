@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import exact_dedup, mixing, packing, quality_model, quality_rules, simhash, token_counts, url_rules, warc
+from gradeloom.llm import exact_dedup, mixing, packing, passages, quality_model, quality_rules, simhash, token_counts, url_rules, warc
 
 #: The same vocabulary for the two libraries.
 TOKENIZER, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -79,7 +79,7 @@ quartiles AS (
   FROM ranked GROUP BY ALL),
 fence AS (
   SELECT level, lang, source, max(total) AS total, max(q3 + 3 * (q3 - q1) + 200) FILTER (measure = 'symbol_share') AS f1,
-         max(q3 + 3 * (q3 - q1) + 3000) FILTER (measure = 'dup_line_share') AS f2, max(q3 + 3 * (q3 - q1) + 2000) FILTER (measure = 'repeat_share') AS f3
+         max(q3 + 3 * (q3 - q1) + 4000) FILTER (measure = 'dup_line_share') AS f2, max(q3 + 3 * (q3 - q1) + 3000) FILTER (measure = 'repeat_share') AS f3
   FROM quartiles GROUP BY ALL),
 chosen AS (
   SELECT a.lang, a.source, CASE WHEN a.total >= 50 THEN {'f1': a.f1, 'f2': a.f2, 'f3': a.f3} WHEN b.total >= 50 THEN {'f1': b.f1, 'f2': b.f2, 'f3': b.f3}
@@ -163,3 +163,8 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
 FROM coded""")
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(table(spark, sf_dir, "pages")), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op9_passages")
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(table(spark, sf_dir, "documents"))
