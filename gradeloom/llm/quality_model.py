@@ -41,7 +41,7 @@ class Model:
 def labelled(labels: DataFrame, bound: int = LABELLED, seed: int = SEED) -> DataFrame:
     """At most ``bound`` labelled ids with ``good`` and ``fold`` (0 fits, 1 is held out); several labels of an id: the worst counts."""
     worst = labels.where("doc_id is not null").groupBy("doc_id").agg(
-        (F.coalesce(F.min("quality"), F.lit(0)) > 0).alias("quality"), (F.coalesce(F.max("toxic"), F.lit(0)) > 0).alias("toxic"))
+        (F.min(F.coalesce("quality", F.lit(0))) > 0).alias("quality"), (F.max(F.coalesce("toxic", F.lit(1))) > 0).alias("toxic"))
     order = F.xxhash64(F.lit(seed), "doc_id")
     return worst.select("doc_id", (F.col("quality") & ~F.col("toxic")).alias("good"), F.pmod(F.shiftright(order, 8), F.lit(2)).alias("fold"), order.alias("_o")).orderBy("_o", "doc_id").limit(bound).drop("_o")
 

@@ -206,7 +206,7 @@ def members(file, start: int, end: int, proven: bool) -> Iterator[tuple[int, int
             at = window.at
             window.drop(1)
             known = seek_member(window, end)
-            yield at, window.at, None
+            yield at, min(window.at, end), None
             if not known:
                 return
             continue
