@@ -34,8 +34,8 @@ def summarise(counts: Counter, counters: int) -> Counter:
     return Counter({k: v - cut for k, v in counts.items() if v > cut})
 
 
-def heavy_candidates(rows: DataFrame, key: str, counters: int = COUNTERS) -> DataFrame:
-    """At most ``counters`` values of ``key``, all that hold more than ``rows / (counters + 1)`` rows among them."""
+def heavy_candidates(rows: DataFrame, key: str, counters: int = COUNTERS, least: int = 1) -> DataFrame:
+    """At most ``counters`` values of ``key``, all that hold ``rows / (counters + 1) + least`` rows or more among them."""
 
     def per_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: Counter = Counter()
@@ -49,7 +49,7 @@ def heavy_candidates(rows: DataFrame, key: str, counters: int = COUNTERS) -> Dat
     parts = rows.select(F.col(key).alias("k")).where("k is not null").mapInPandas(per_task, schema)
     top = parts.groupBy("k").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k").limit(counters + 1).collect()
     cut = top[counters]["n"] if len(top) > counters else 0
-    return spark.createDataFrame([(r["k"],) for r in top if r["n"] > cut], rows.select(F.col(key).alias(key)).schema)
+    return spark.createDataFrame([(r["k"],) for r in top if r["n"] - cut >= least], rows.select(F.col(key).alias(key)).schema)
 
 
 def mark(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counters: int = COUNTERS) -> DataFrame:
