@@ -145,7 +145,7 @@ def _label(rows: DataFrame, each: DataFrame, linked: DataFrame) -> DataFrame:
 
 
 #: Long fingerprints: 64-bit words, segments that are tables, and bits of a segment.
-WORDS, SEGMENTS, SEGMENT_BITS = 16, 128, 24
+WORDS, SEGMENTS, SEGMENT_BITS = 16, 128, 22
 #: Neighbours in a bucket that are compared with each row, besides the first of the bucket.
 NEIGHBOURS = 8
 SHINGLE, SIMILARITY = 5, 0.8
@@ -198,7 +198,7 @@ def similar_links(fps: DataFrame, similarity: float = SIMILARITY, words: int = W
     pairs = pairs.select(F.greatest("uid", "o.uid").alias("a"), F.least("uid", "o.uid").alias("b")).distinct()
     one, two = fps.toDF("a", "fp_a"), fps.toDF("b", "fp_b")
     apart = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-    most = math.floor(64 * words * differing_share(similarity, 64 * words, 1.5))
+    most = math.floor(64 * words * differing_share(similarity, 64 * words, 2.0))
     return pairs.join(one, "a").join(two, "b").where(apart <= most).select("a", "b")
 
 
