@@ -140,7 +140,7 @@ _RATIOS = (
     "ratios AS (SELECT r.run_id, r.prompt_id, r.model, r.optimisation_lever AS lever, CASE WHEN b.cost_usd > 0 THEN r.cost_usd / b.cost_usd END AS cost_mult, "
     "CAST(r.input_tokens AS DOUBLE) / greatest(b.input_tokens, 1) AS input_mult, CAST(r.output_tokens AS DOUBLE) / greatest(b.output_tokens, 1) AS output_mult, "
     "CASE WHEN r.optimisation_lever <> 'batch' THEN CAST(r.latency_ms AS DOUBLE) / greatest(b.latency_ms, 1) END AS latency_mult FROM results r JOIN results b "
-    "ON r.prompt_id = b.prompt_id AND r.model = b.model AND r.run_id = b.run_id AND b.optimisation_lever = 'baseline' WHERE r.optimisation_lever <> 'baseline')")
+    "ON r.prompt_id = b.prompt_id AND r.model = b.model AND r.run_id = b.run_id AND b.optimisation_lever = 'baseline' AND b.error IS NULL WHERE r.optimisation_lever <> 'baseline' AND r.error IS NULL)")
 
 
 @query("lever_ratios", grid_sql(

@@ -249,7 +249,7 @@ def resume_position(spark, sf):
     return resolve.resume_position(resolve.arbitration_queue(open_cases(spark, sf)))
 
 
-_CANON = ("canon AS (SELECT r.*, CASE WHEN judge_disagreement_flag = 0 THEN (judge_a_score + judge_b_score) / 2 ELSE human END AS score FROM results r LEFT JOIN resolved c "
+_CANON = ("canon AS (SELECT r.*, CASE WHEN judge_disagreement_flag = 0 THEN (judge_a_score + judge_b_score) / 2 ELSE coalesce(human, canonical_score) END AS score FROM results r LEFT JOIN resolved c "
           "ON r.prompt_id = c.prompt_id AND r.model = c.model AND r.optimisation_lever = c.lever)")
 
 

@@ -328,7 +328,7 @@ def stream_results_once(spark, sf):
 @query("stream_job_outcomes",
        "WITH j AS (SELECT CAST(event_id // 3 AS STRING) AS batch_id, ts, CASE event_id % 3 WHEN 0 THEN 'submitted' WHEN 1 THEN 'in_progress' ELSE CASE WHEN event_id % 2 = 0 THEN 'completed' ELSE 'cancelled' END END AS status FROM events), "
        "g AS (SELECT batch_id, min(ts) AS s, min(ts) FILTER (WHERE status IN ('completed', 'cancelled')) AS e, arg_min(status, ts) FILTER (WHERE status IN ('completed', 'cancelled')) AS st FROM j GROUP BY 1) "
-       "SELECT CASE WHEN e <= s + INTERVAL 30 MINUTE THEN st ELSE 'timed_out' END AS status, count(*) AS n FROM g WHERE e <= s + INTERVAL 30 MINUTE OR s + INTERVAL 30 MINUTE < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1")
+       "SELECT CASE WHEN e <= s + INTERVAL 30 MINUTE THEN st ELSE 'timed_out' END AS status, count(*) AS n FROM g WHERE CASE WHEN e <= s + INTERVAL 30 MINUTE THEN e ELSE s + INTERVAL 30 MINUTE END < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1")
 def stream_job_outcomes(spark, sf):
     status = F.when(F.col("event_id") % 3 == 0, F.lit("submitted")).when(F.col("event_id") % 3 == 1, F.lit("in_progress")).otherwise(
         F.when(F.col("event_id") % 2 == 0, F.lit("completed")).otherwise(F.lit("cancelled")))

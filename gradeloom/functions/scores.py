@@ -85,9 +85,10 @@ def position_seed(prompt_id: Column, lever: Column) -> Column:
 def config_hash(lever: Column, config: Column) -> Column:
     """Stable key of a lever and its configuration (JSON text or NULL).
 
-    The configuration is parsed and rewritten first, so key order and spacing do not matter.
+    The configuration is parsed and rewritten first, so key order and spacing do not matter.  One
+    that is no JSON counts as the text it is.
     """
-    body = F.coalesce(F.to_json(F.try_parse_json(config)), F.lit("{}"))
+    body = F.coalesce(F.to_json(F.try_parse_json(config)), config, F.lit("{}"))
     payload = F.concat(F.lit('{"config": '), body, F.lit(', "lever": "'), lever, F.lit('"}'))
     return F.concat(F.lit("sha256:"), F.substring(F.sha2(payload, 256), 1, 16))
 

@@ -50,19 +50,20 @@ def sample_per(df: DataFrame, by: list[str], order: list, quota: int | dict[str,
 
 
 def spot_check(results: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """``k`` random rows with the score the rule gives them and whether it is the stored one."""
+    """``k`` random rows, always the same for a seed, with the score the rule gives them and whether it is the stored one."""
     expected = S.mean_of_both(F.col("judge_a_score"), F.col("judge_b_score"))
     df = results.where((F.col("judge_disagreement_flag") == 0) & expected.isNotNull())
     df = df.withColumn("expected_score", expected)
-    return df.withColumn("ok", F.abs(F.col("canonical_score") - F.col("expected_score")) < 1e-9).orderBy(F.rand(seed)).limit(k)
+    return df.withColumn("ok", F.abs(F.col("canonical_score") - F.col("expected_score")) < 1e-9).orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed)), "result_id"), 256), "result_id").limit(k)
 
 
 def judge_summary(scores: DataFrame, fx: float = K.GBP_USD_RATE, slices: int | None = None) -> DataFrame:
     """Rows, errors, cost and exact latency percentiles of each judge."""
     ranks = {"p50_ms": F.floor(F.col("n") / 2), "p95_ms": F.floor(F.col("n") * F.lit(0.95))}
     also = {"n_errors": F.count_if(F.col("judge_error").isNotNull()), "cost_usd": F.sum("cost_usd")}
-    df = nearest_rank(scores, "latency_ms", ranks, ["judge"], slices, also)
-    return df.withColumnRenamed("n", "n_scored").withColumn("cost_gbp", S.to_gbp(F.col("cost_usd"), fx))
+    also["n_scored"] = F.count(F.lit(1))
+    df = nearest_rank(scores, "latency_ms", ranks, ["judge"], slices, also).drop("n")
+    return df.withColumn("cost_gbp", S.to_gbp(F.col("cost_usd"), fx))
 
 
 def score_range(scores: DataFrame) -> DataFrame:

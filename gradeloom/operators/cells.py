@@ -207,12 +207,13 @@ def pass_set_samples(results: DataFrame, a: str = "baseline", b: str = "batch",
 def lever_ratios(results: DataFrame, lever: str | None = None) -> DataFrame:
     """Row-level lever / baseline ratios of cost, tokens and latency per (run, prompt, model).
 
-    Baselines are reduced to one row per key first; both join sides are then hashed on the
+    Failed calls have no ratio and are no baseline.  Baselines are reduced to one row per key first; both join sides are then hashed on the
     same key and a hot key is split by the adaptive skew join.  Batch latency is stored as 0
     and yields NULL.
     """
     key = ["run_id", "prompt_id", "model"]
     measures = ["cost_usd", "input_tokens", "output_tokens", "latency_ms"]
+    results = results.where(F.col("error").isNull()) if "error" in results.columns else results
     base = (results.where(F.col("optimisation_lever") == "baseline").groupBy(*key)
             .agg(F.max_by(F.struct(*measures), F.struct("run_attempt", "result_id")).alias("base")))
     rows = results.where(F.col("optimisation_lever") != "baseline" if lever is None else F.col("optimisation_lever") == lever)

@@ -111,10 +111,10 @@ def with_budget_tier(runs: DataFrame) -> DataFrame:
 
 
 def predicted_cache_multiplier(results: DataFrame, prices: DataFrame) -> DataFrame:
-    """Expected cost multiplier of a cache read: discounted input share plus output share."""
+    """Expected cost multiplier of a cache read: discounted input share plus output share; NULL for a call that costs nothing."""
     df = results.join(prices, "model")
     cost_in, cost_out = F.col("input_tokens") * F.col("in_rate"), F.col("output_tokens") * F.col("out_rate")
-    share = cost_in / (cost_in + cost_out)
+    share = F.try_divide(cost_in, cost_in + cost_out)
     return df.withColumn("input_share", share).withColumn(
         "predicted_mult", F.col("input_share") * F.col("read_mult") + (F.lit(1.0) - F.col("input_share"))
     ).drop("in_rate", "out_rate", "read_mult", "create_mult")

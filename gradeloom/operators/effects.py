@@ -26,12 +26,13 @@ def read_problem(cached: Column) -> Column:
 def cache_phases(results: DataFrame) -> DataFrame:
     """Baseline, write and read call of each (run, prompt, model) side by side, with the skip reason.
 
-    One grouping pivots the three phases; a pair without write call was below the model's
+    Failed calls take no part.  One grouping pivots the three phases; a pair without write call was below the model's
     minimum prompt length.
     """
     phase = F.when(F.col("optimisation_lever") == "baseline", F.lit("baseline")).when(
         F.col("optimisation_lever") == "caching", F.get_json_object("optimisation_config", "$.cache_phase"))
     call = F.struct("cost_usd", "latency_ms", "cached_tokens", "cache_creation_tokens", "provider")
+    results = results.where(F.col("error").isNull()) if "error" in results.columns else results
     df = results.where(F.col("optimisation_lever").isin("baseline", "caching")).withColumn("_phase", phase)
     pick = lambda p: F.max_by(call, F.when(F.col("_phase") == p, F.struct("run_attempt", "result_id"))).alias(p)
     df = df.groupBy(*PAIR).agg(pick("baseline"), pick("write"), pick("read")).where(F.col("baseline").isNotNull())
@@ -44,10 +45,10 @@ def cache_phases(results: DataFrame) -> DataFrame:
 
 
 def cache_multipliers(results: DataFrame) -> DataFrame:
-    """Per-pair write and read multipliers of cost and latency; NULL where caching was unavailable."""
+    """Per-pair write and read multipliers of cost and latency; NULL where caching was unavailable or the baseline was free."""
     df = cache_phases(results)
     ok = F.col("skip_reason").isNull()
-    cost = lambda p: F.when(ok, F.col(f"{p}.cost_usd") / F.col("baseline.cost_usd"))
+    cost = lambda p: F.when(ok, F.try_divide(F.col(f"{p}.cost_usd"), F.col("baseline.cost_usd")))
     lat = lambda p: F.when(ok, F.col(f"{p}.latency_ms") / F.greatest(F.col("baseline.latency_ms"), F.lit(1)))
     return df.select(*PAIR, "skip_reason", cost("write").alias("cost_write_mult"), cost("read").alias("cost_read_mult"),
                      lat("write").alias("latency_write_mult"), lat("read").alias("latency_read_mult"))

@@ -51,11 +51,11 @@ def _cheap_order(quality: str, cost: str) -> Column:
 
 
 def frontier_listing(cells_df: DataFrame, by: list[str] | None = None, quality: str = "mean_score", cost: str = "mean_cost") -> DataFrame:
-    """Frontier points with their quality and cost as a share of the best cell's."""
+    """Frontier points with their quality and cost as a share of the best cell's; NULL where that is 0."""
     best = F.min_by(_cell(quality, cost), _best_order(quality, cost)).over(Window.partitionBy(*_partition(by)))
     df = frontier(cells_df, by, quality, cost).withColumn("_b", best)
     return (df.where("pareto_optimal").withColumns({
-        "quality_share": F.col(quality) / F.col("_b.quality"), "cost_share": F.col(cost) / F.col("_b.cost"),
+        "quality_share": F.try_divide(F.col(quality), F.col("_b.quality")), "cost_share": F.try_divide(F.col(cost), F.col("_b.cost")),
     }).drop("_b", "dominated_by_model", "dominated_by_lever", "dominator_quality", "dominator_cost", "pareto_optimal"))
 
 
@@ -81,7 +81,7 @@ def cost_sensitivity(cells_df: DataFrame, frac: float = K.NEAR_BEST_FRACTION, by
 
 
 def headline_scalars(cells_df: DataFrame, frac: float = K.NEAR_BEST_FRACTION, quality: str = "mean_score", cost: str = "mean_cost") -> DataFrame:
-    """One row: the best cell, the cheapest near-best one, and how they compare."""
+    """One row: the best cell, the cheapest near-best one, and how they compare (NULL for a share of 0)."""
     near = F.col(quality) >= F.lit(float(frac)) * F.col("_top")
     df = (cells_df.withColumn("_top", F.max(quality).over(Window.partitionBy(F.lit(0))))
           .agg(F.min_by(_cell(quality, cost), _best_order(quality, cost)).alias("best"),
@@ -91,9 +91,9 @@ def headline_scalars(cells_df: DataFrame, frac: float = K.NEAR_BEST_FRACTION, qu
         F.col("best.quality").alias("best_quality"), F.col("best.cost").alias("best_cost"),
         F.col("cheap.model").alias("cheap_model"), F.col("cheap.lever").alias("cheap_lever"),
         F.col("cheap.quality").alias("cheap_quality"), F.col("cheap.cost").alias("cheap_cost"),
-        (F.col("cheap.quality") / F.col("best.quality")).alias("quality_share"),
-        (F.col("cheap.cost") / F.col("best.cost")).alias("cost_share"),
-        (F.col("best.cost") / F.col("cheap.cost")).alias("cost_multiple"),
+        F.try_divide(F.col("cheap.quality"), F.col("best.quality")).alias("quality_share"),
+        F.try_divide(F.col("cheap.cost"), F.col("best.cost")).alias("cost_share"),
+        F.try_divide(F.col("best.cost"), F.col("cheap.cost")).alias("cost_multiple"),
     )
 
 

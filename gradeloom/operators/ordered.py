@@ -58,14 +58,16 @@ def nearest_rank(df: DataFrame, column: str, points: dict[str, Column], by: list
 
     A rank is an expression over the group size ``n``.  The rows are read once: they are first
     counted per distinct value, with the additive aggregates in ``also`` (``{name: sum or
-    count}``), and everything else comes from those counts.
+    count}``), and everything else comes from those counts.  NULL values have no rank but
+    count in ``also``.
     """
     if not by:
         return nearest_rank(df.withColumn("_all", F.lit(0)), column, points, ["_all"], slices, also).drop("_all")
     extra = also or {}
-    present = df.where(F.col(column).isNotNull())
-    counted = present.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"), *[c.alias(name) for name, c in extra.items()])
-    upto = running_total(counted, by, [F.col(column)], {"_upto": F.col("_n")}, slices)
+    counted = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"), *[c.alias(name) for name, c in extra.items()])
+    present = counted.where(F.col(column).isNotNull()) if not extra else counted
+    size = F.when(F.col(column).isNotNull(), F.col("_n")).otherwise(F.lit(0))
+    upto = running_total(present.withColumn("_n", size), by, [F.col(column)], {"_upto": F.col("_n")}, slices)
     totals = upto.groupBy(*by).agg(F.sum("_n").alias("n"), *[F.sum(name).alias(name) for name in extra])
     rows = upto.drop(*extra).join(totals, by)
     holds = lambda rank: (F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank)

@@ -34,10 +34,13 @@ def not_done(planned: DataFrame, results: DataFrame) -> DataFrame:
     return planned.join(done, K.RESULT_KEY, "left_anti")
 
 
-def next_attempt(results: DataFrame) -> DataFrame:
-    """Next attempt number per (prompt, model, lever, config) over all runs."""
-    return results.groupBy("prompt_id", "model", "optimisation_lever", "config_hash").agg(
-        (F.max("run_attempt") + 1).alias("next_attempt"))
+def next_attempt(results: DataFrame, planned: DataFrame | None = None) -> DataFrame:
+    """Next attempt number per (prompt, model, lever, config) over all runs; 1 for ``planned`` keys that never ran."""
+    key = ["prompt_id", "model", "optimisation_lever", "config_hash"]
+    ran = results.groupBy(*key).agg((F.max("run_attempt") + 1).alias("next_attempt"))
+    if planned is None:
+        return ran
+    return planned.select(*key).distinct().join(ran, key, "left").fillna(1, ["next_attempt"])
 
 
 def latest_jobs(jobs: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ def resume_position(queue: DataFrame) -> DataFrame:
 
 
 def apply_scores(cases: DataFrame, scores: DataFrame) -> DataFrame:
-    """Enter human scores (prompt_id, model, lever, score text, note) into cases; invalid scores are ignored."""
+    """Enter human scores (prompt_id, model, lever, score text, note) into cases; see ``score_problems`` for those that can't be."""
     new = (scores.withColumn("_s", S.valid_score(F.col("score"))).where(F.col("_s").isNotNull())
            .groupBy(*CASE_KEY).agg(F.max_by(F.struct("_s", "note"), "entered_at").alias("_new")))
     hit = F.col("_new").isNotNull()
@@ -100,25 +100,40 @@ def apply_scores(cases: DataFrame, scores: DataFrame) -> DataFrame:
     }).drop("_new")
 
 
+def score_problems(cases: DataFrame, scores: DataFrame) -> DataFrame:
+    """Human scores that ``apply_scores`` cannot enter, with the ``reason``: no number from 0 to 1, or no such case."""
+    bad = S.valid_score(F.col("score")).isNull()
+    known = cases.select(*CASE_KEY).distinct().withColumn("_known", F.lit(True))
+    df = scores.join(known, CASE_KEY, "left")
+    reason = F.when(bad, F.lit("invalid score")).when(F.col("_known").isNull(), F.lit("unknown case"))
+    return df.withColumn("reason", reason).where("reason is not null").drop("_known")
+
+
 def populate_canonical(results: DataFrame, cases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Canonical score of every row, and the keys that found no partner.
 
     Agreeing rows with both scores get their mean and never shuffle; only flagged rows are
-    joined to the resolved cases.  The second frame lists flagged rows without a case and
-    cases without a flagged row.
+    joined to the resolved cases, within their run where cases carry one.  Rows for which no rule
+    fires keep the score they have.  The second frame lists flagged rows without a case
+    (``results``), cases without a flagged row (``cases``) and keys whose cases disagree
+    (``conflict``), which are entered nowhere.
     """
-    resolved = (cases.where(is_scored(F.col("human_score")))
-                .groupBy(*CASE_KEY).agg(F.max(F.col("human_score").try_cast("double")).alias("_arbitrated")))
+    key = ["prompt_id", "model", "_lever", *(["run_id"] if "run_id" in cases.columns else [])]
+    score = F.col("human_score").try_cast("double")
+    resolved = (cases.where(is_scored(F.col("human_score"))).withColumnRenamed("lever", "_lever")
+                .groupBy(*key).agg(F.min(score).alias("_low"), F.max(score).alias("_high")))
+    agree = F.col("_low").eqNullSafe(F.col("_high"))
+    stored = F.col("canonical_score") if "canonical_score" in results.columns else F.lit(None).cast("double")
     columns = [c for c in results.columns if c != "canonical_score"]
     flagged = F.coalesce(F.col("judge_disagreement_flag"), F.lit(0)) == 1
     both = F.col("judge_a_score").isNotNull() & F.col("judge_b_score").isNotNull()
     agreed = results.where(~flagged).select(
-        *columns, F.when(both, S.mean_of_both(F.col("judge_a_score"), F.col("judge_b_score"))).alias("canonical_score"))
-    disputed = results.where(flagged).select(*columns, F.col("optimisation_lever").alias("_lever"))
-    r = resolved.withColumnRenamed("lever", "_lever")
-    key = ["prompt_id", "model", "_lever"]
-    settled = disputed.join(r, key, "left").select(*columns, F.col("_arbitrated").alias("canonical_score"))
+        *columns, F.when(both, S.mean_of_both(F.col("judge_a_score"), F.col("judge_b_score"))).otherwise(stored).alias("canonical_score"))
+    disputed = results.where(flagged).select(*columns, stored.alias("_stored"), F.col("optimisation_lever").alias("_lever"))
+    r = resolved.select(*key, F.when(agree, F.col("_high")).alias("_arbitrated"))
+    settled = disputed.join(r, key, "left").select(*columns, F.coalesce("_arbitrated", "_stored").alias("canonical_score"))
     keys = disputed.select(*key)
     unmatched = (keys.join(r, key, "left_anti").withColumn("side", F.lit("results"))
                  .unionByName(r.select(*key).join(keys, key, "left_anti").withColumn("side", F.lit("cases"))))
+    unmatched = unmatched.unionByName(resolved.where(~agree).select(*key).withColumn("side", F.lit("conflict")))
     return agreed.unionByName(settled), unmatched.withColumnRenamed("_lever", "lever")

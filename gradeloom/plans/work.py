@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from gradeloom import constants as K
 from gradeloom.operators import planning
@@ -30,20 +31,26 @@ def infer(df: DataFrame, call, schema: str) -> DataFrame:
     """Run a user's callable over Arrow batches of work rows.
 
     ``call(pandas.DataFrame) -> pandas.DataFrame`` returns the response columns of ``schema``;
-    a row that failed carries its error as data.  An exception in the callable marks the
-    batch's rows with it instead of failing the job, so ``schema`` must hold an ``error`` column.
+    a row that failed carries its error as data.  After an exception in the callable the batch
+    is tried row by row, so that only the rows that raise are marked; ``schema`` (any DDL text)
+    must hold an ``error`` column.
     """
     import pandas as pd
 
-    names = [f.split()[0] for f in schema.split(", ")]
+    names = StructType.fromDDL(schema).names
+
+    def tried(batch):
+        try:
+            return call(batch)
+        except Exception as e:  # the failure is data
+            if len(batch) > 1:
+                return pd.concat([tried(batch.iloc[i:i + 1]).reindex(columns=names).astype(object) for i in range(len(batch))])
+            out = batch.reindex(columns=names).copy()
+            out["error"] = f"{type(e).__name__}: {e}"
+            return out
 
     def run(batches):
         for batch in batches:
-            try:
-                out = call(batch)
-            except Exception as e:  # the failure is data
-                out = batch.reindex(columns=names).copy()
-                out["error"] = f"{type(e).__name__}: {e}"
-            yield pd.DataFrame(out).reindex(columns=names).astype(object)
+            yield pd.DataFrame(tried(batch)).reindex(columns=names).astype(object)
 
     return df.mapInPandas(run, schema)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradeloom import constants as K
@@ -62,13 +60,13 @@ def check_prompts(objects: DataFrame, value: str = "value", source: str = "sourc
     """Split prompt objects (VARIANT) into valid prompts and rejected ones with their reasons.
 
     ``expected`` stays a VARIANT: JSON text would lose the difference between 249 and 249.0.
-    Ids must be unique within a source; every copy of a repeated id is rejected.
+    Ids must be unique over all sources; every copy of a repeated id is rejected.
     """
     df = objects.withColumn("reasons", F.when(F.col(value).isNull(), F.array(F.lit("unreadable file"))).otherwise(_problems(F.col(value))))
     df = df.withColumn("prompt_id", J.field(F.col(value), "$.prompt_id").try_cast("string"))
-    repeats = (df.groupBy(source, "prompt_id").agg(F.count(F.lit(1)).alias("_n"))
+    repeats = (df.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("_n"))
                .where((F.col("_n") > 1) & F.col("prompt_id").isNotNull()))
-    df = df.join(repeats, [source, "prompt_id"], "left")
+    df = df.join(repeats, "prompt_id", "left")
     twice = F.when(F.col("_n").isNotNull(), F.array(F.lit("duplicate prompt_id"))).otherwise(F.array().cast("array<string>"))
     df = df.withColumn("reasons", F.concat("reasons", twice))
     get = lambda path, kind="string": J.field(F.col(value), path, kind)
@@ -87,7 +85,3 @@ def read_prompts(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame
     files = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("source"), "value")
     arrays = files.select("source", F.from_json("value", "array<variant>").alias("a"))
     return check_prompts(arrays.select("source", F.explode_outer("a").alias("value")))
-
-
-def union_prompts(*frames: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
