@@ -97,8 +97,8 @@ def job_prompts(spark, sf):
 
 
 # ---- sources -------------------------------------------------------------------------------------
-def output_lines(spark, sf, provider: str) -> DataFrame:
-    """Batch output lines of a provider, written from the grid's batch rows."""
+def output_lines(spark, sf, provider: str, broken: bool = False) -> DataFrame:
+    """Batch output lines of a provider, written from the grid's batch rows; ``broken`` cuts off some of them."""
     df = wide(spark, sf).where(F.col("lever") == "batch").where(F.col("provider") == provider)
     cid = F.expr("CASE WHEN h1 % 29 = 0 THEN 'unknown' ELSE prompt_id END").alias("custom_id")
     if provider == "openai":
@@ -111,7 +111,8 @@ def output_lines(spark, sf, provider: str) -> DataFrame:
             "named_struct('type', CASE WHEN h2 % 31 = 0 THEN 'errored' ELSE 'succeeded' END, 'message', named_struct('model', model || '-x', 'content', array("
             "named_struct('type', 'text', 'text', response_text), named_struct('type', 'thinking', 'text', 'hidden'), named_struct('type', 'text', 'text', '!')), "
             "'usage', named_struct('input_tokens', input_tokens, 'output_tokens', output_tokens, 'cache_read_input_tokens', h1 % 50)))").alias("result"))
-    return df.select(F.concat_ws("-", F.lit("job"), "model").alias("batch_id"), F.to_json(line).alias("value"))
+    text = F.when(F.lit(broken) & (F.col("h1") % 41 == 0), F.substring(F.to_json(line), 1, 20)).otherwise(F.to_json(line))
+    return df.select(F.concat_ws("-", F.lit("job"), "model").alias("batch_id"), text.alias("value"))
 
 
 def _grid_jobs(spark) -> DataFrame:
@@ -232,9 +233,9 @@ def exact_median_latency(spark, sf):
     return audits.median_of(results(spark, sf).where("optimisation_lever <> 'batch'"), "latency_ms", ["model"])
 
 
-@query("inferred_responses")
+@query("inferred_responses", grid_sql("SELECT prompt_id, 'echo ' || user_text AS response_text, length(user_text) // 4 AS output_tokens, CAST(NULL AS VARCHAR) AS error FROM prompts"))
 def inferred_responses(spark, sf):
-    """A user callable over planned work, Arrow batch by Arrow batch; there is no SQL twin."""
+    """A user callable over planned work, Arrow batch by Arrow batch."""
     def echo(batch):
         out = batch[["prompt_id"]].copy()
         out["response_text"] = "echo " + batch["user_text"]

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from decimal import Decimal
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeloom import constants as K
@@ -81,8 +84,8 @@ def items(value: Column) -> Column:
 def typed(value: Column, depth: int = 2) -> Column:
     """``struct(kind, text, number, items)``: what equality looks at, read from the VARIANT once.
 
-    ``depth`` is the number of list levels that are opened; deeper lists, and objects, are
-    kept as canonical JSON text (sorted keys).
+    ``depth`` is the number of list levels that are opened; values that ``needs_walk`` names are
+    compared elsewhere, whatever their depth.
     """
 
     def build(kind: Column) -> Column:
@@ -154,9 +157,97 @@ def field_pairs(got: Column, wanted: Column) -> Column:
         w["value"].alias("want"), typed(F.try_element_at(have, w["key"])).alias("got"))))
 
 
+def needs_walk(expected: Column) -> Column:
+    """TRUE for an expected object (VARIANT) whose fields hold objects, or lists below a second level.
+
+    Columns express the comparison of scalars and of lists down to two levels; anything deeper has
+    to be walked value by value.
+    """
+    plain = F.regexp_replace(F.to_json(expected), r'"(?:[^"\\]|\\.)*"', "0")
+    shallow = F.regexp_replace(F.regexp_replace(plain, r"\[[^\[\]{}]*\]", "0"), r"\[[^\[\]{}]*\]", "0")
+    return F.coalesce(F.contains(shallow, F.lit("[")) | F.contains(F.substring(plain, F.lit(2), F.length(plain)), F.lit("{")), F.lit(False))
+
+
+def _whole(value: object) -> bool:
+    """A JSON number without fraction or exponent; wide ones arrive as decimals."""
+    return isinstance(value, int) or (isinstance(value, Decimal) and value.as_tuple().exponent == 0)
+
+
+def _number(value: object) -> bool:
+    return isinstance(value, (int, float, Decimal)) and not isinstance(value, bool)
+
+
+def _same(got: object, want: object) -> bool:
+    """Plain equality inside objects: numbers by value, booleans as 1 and 0, texts and lists as they are."""
+    if isinstance(want, dict):
+        return isinstance(got, dict) and got.keys() == want.keys() and all(_same(got[k], v) for k, v in want.items())
+    if isinstance(want, list):
+        return isinstance(got, list) and len(got) == len(want) and all(map(_same, got, want))
+    if isinstance(want, (bool, int, float, Decimal)):
+        if not isinstance(got, (bool, int, float, Decimal)):
+            return False
+        return got == want if _whole(got) and _whole(want) else float(got) == float(want)
+    return type(got) is type(want) and got == want
+
+
+def _walk(got: object, want: object) -> bool:
+    """Equality of two values at any depth, by the rules of ``values_equal``."""
+    if isinstance(want, list):
+        rest = list(got) if isinstance(got, list) and len(got) == len(want) else None
+        for item in want if rest is not None else ():
+            at = next((i for i, x in enumerate(rest) if _walk(x, item)), None)
+            if at is None:
+                return False
+            del rest[at]
+        return rest is not None
+    if isinstance(want, dict):
+        return _same(got, want)
+    if isinstance(want, bool) or want is None:
+        return type(got) is type(want) and got == want
+    if _number(want):
+        if not _number(got) or (_whole(want) and not _whole(got) and float(got) % 1):
+            return False
+        return got == want if _whole(got) and _whole(want) else abs(float(got) - float(want)) < K.FLOAT_TOLERANCE
+    return isinstance(got, str) and isinstance(want, str) and re.sub(r"\s+", " ", got).strip().lower() == re.sub(r"\s+", " ", want).strip().lower()
+
+
+def walked_equal(got: Column, expected: Column) -> Column:
+    """TRUE if every field of the expected object equals that of the other; NULL inputs are passed over.
+
+    One vectorised Python function, for the rows that ``needs_walk`` names.
+    """
+    @F.pandas_udf("boolean")
+    def walked(got: pd.Series, expected: pd.Series) -> pd.Series:
+        def one(g: object, e: object) -> bool | None:
+            if g is None or e is None:
+                return None
+            g, e = g.toPython(), e.toPython()
+            return isinstance(g, dict) and all(k in g and _walk(g[k], v) for k, v in e.items())
+
+        return pd.Series([one(g, e) for g, e in zip(got, expected, strict=True)], dtype=object)
+
+    return walked(got, expected)
+
+
 def json_equal(got: Column, expected: Column) -> Column:
-    """TRUE if every field of the expected object is there, of the right kind and equal (both VARIANT)."""
+    """TRUE if every field of the expected object is there, of the right kind and equal (both VARIANT).
+
+    For expected objects that don't need a walk; ``with_json_equal`` takes any.
+    """
     return F.coalesce(F.forall(
         field_pairs(got, typed_fields(expected)),
         lambda p: types_match(p["got"], p["want"]) & values_equal(p["got"], p["want"]),
     ), F.lit(False))
+
+
+def fields_match(got: Column, expected: Column) -> Column:
+    """TRUE if every field of the expected object is there and of the right kind."""
+    return F.coalesce(F.forall(field_pairs(got, typed_fields(expected)), lambda p: types_match(p["got"], p["want"])), F.lit(False))
+
+
+def with_json_equal(df: DataFrame, got: Column, expected: Column, name: str) -> DataFrame:
+    """Add a column that is TRUE where two JSON objects (VARIANT) are equal in every expected field, at any depth."""
+    df = df.withColumn("_got", got).withColumn("_want", expected).withColumn("_walk", needs_walk(F.col("_want")))
+    df = df.withColumn("_deep", walked_equal(F.when(F.col("_walk"), F.col("_got")), F.when(F.col("_walk"), F.col("_want"))))
+    deep = F.coalesce("_deep", F.lit(False)) & fields_match(F.col("_got"), F.col("_want"))
+    return df.withColumn(name, F.when(F.col("_walk"), deep).otherwise(json_equal(F.col("_got"), F.col("_want")))).drop("_got", "_want", "_walk", "_deep")

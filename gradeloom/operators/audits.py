@@ -49,6 +49,12 @@ def sample_per(df: DataFrame, by: list[str], order: list, quota: int | dict[str,
     return ranked.where(F.col("pos") <= most).where(F.col("pos") <= limit)
 
 
+def top_rows(df: DataFrame, order: list[Column], k: int, name: str = "pos") -> DataFrame:
+    """The first ``k`` rows along an order, with their position from 1; each task sends at most ``k`` rows."""
+    first = df.orderBy(*order).limit(k)
+    return first.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
 def spot_check(results: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """``k`` random rows, always the same for a seed, with the score the rule gives them and whether it is the stored one."""
     expected = S.mean_of_both(F.col("judge_a_score"), F.col("judge_b_score"))

@@ -89,6 +89,15 @@ def first_breach(results: DataFrame, runs: DataFrame, fx: float = K.GBP_USD_RATE
                                             F.struct("ts", "result_id")).alias("x")).select("run_id", "x.*"))
 
 
+def first_refused(calls: DataFrame, runs: DataFrame, fx: float = K.GBP_USD_RATE, slices: int | None = None) -> DataFrame:
+    """First call of each run that the cap refuses: spend before it plus its own estimate (est_cost_gbp) is over the cap."""
+    rows = calls.select("run_id", "ts", "result_id", "cost_usd", "est_cost_gbp")
+    df = running_total(rows, ["run_id"], [F.col("ts"), F.col("result_id")], {"_upto": F.col("cost_usd")}, slices)
+    df = df.join(runs.select("run_id", "cost_cap_gbp"), "run_id").withColumn("spent_gbp", S.to_gbp(F.col("_upto") - F.col("cost_usd"), fx))
+    over = df.where(would_exceed(F.col("spent_gbp"), F.col("est_cost_gbp"), F.col("cost_cap_gbp")))
+    return over.groupBy("run_id").agg(F.min_by(F.struct("ts", "result_id", "spent_gbp", "est_cost_gbp", "cost_cap_gbp"), F.struct("ts", "result_id")).alias("x")).select("run_id", "x.*")
+
+
 def would_exceed(spent_gbp: Column, estimate_gbp: Column, cap_gbp: Column) -> Column:
     """Cap test before a call: strictly above the cap."""
     return spent_gbp + estimate_gbp > cap_gbp

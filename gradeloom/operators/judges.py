@@ -138,29 +138,34 @@ def explode_judge_replies(replies: DataFrame, labels: list[str] = K.POSITION_LAB
         "judge_error", share.alias("cost_usd"), F.when(failed, F.lit(0).cast("long")).otherwise(F.col("latency_ms")).alias("latency_ms"))
 
 
-def pair_and_flag(scores: DataFrame, judge_a: str, judge_b: str, stored: DataFrame | None = None) -> DataFrame:
-    """Judges side by side per (run, prompt, model, lever), with gap, flag and median.
+def pair_and_flag(scores: DataFrame, *panel: str, stored: DataFrame | None = None) -> DataFrame:
+    """Two or more judges side by side (a, b, c, ...) per (run, prompt, model, lever), with gap, flag and median.
+
+    The gap is between the highest and the lowest score, NULL with fewer than two; the flag
+    follows the rule for two, or for three and more.
 
     With ``stored`` rows (same key, judge_*_score / judge_*_reasoning), fresh values win and a
     missing fresh value keeps the stored one; the flag is computed from what results.
     """
     key = ["run_id", "prompt_id", "model", "lever"]
     one = lambda c, j: F.max(F.when(F.col("judge") == j, F.col(c)))
-    df = scores.groupBy(*key).agg(
-        one("score", judge_a).alias("judge_a_score"), one("score", judge_b).alias("judge_b_score"),
-        one("reasoning", judge_a).alias("judge_a_reasoning"), one("reasoning", judge_b).alias("judge_b_reasoning"))
+    sides = dict(zip("abcdefghij"[:len(panel)], panel, strict=True))
+    df = scores.groupBy(*key).agg(*[one(c, j).alias(f"judge_{s}_{c}") for c in ("score", "reasoning") for s, j in sides.items()])
     if stored is not None:
-        cols = ["judge_a_score", "judge_b_score", "judge_a_reasoning", "judge_b_reasoning"]
+        cols = [f"judge_{s}_{c}" for c in ("score", "reasoning") for s in sides]
         old = stored.select(*key, *[F.col(c).alias(f"_old_{c}") for c in cols])
         df = df.join(old, key, "left").withColumns({c: F.coalesce(F.col(c), F.col(f"_old_{c}")) for c in cols})
         df = df.drop(*[f"_old_{c}" for c in cols])
-    return with_agreement(df)
+    return with_agreement(df, list(sides))
 
 
-def with_agreement(df: DataFrame) -> DataFrame:
-    a, b = F.col("judge_a_score"), F.col("judge_b_score")
-    return df.withColumns({
-        "delta": F.abs(a - b), "is_disagreement": S.is_disagreement(a, b), "median_score": S.canonical_score(a, b)})
+def with_agreement(df: DataFrame, sides: list[str] = ("a", "b")) -> DataFrame:
+    said = [F.col(f"judge_{s}_score") for s in sides]
+    if len(said) == 2:
+        gap = F.abs(said[0] - said[1])
+    else:
+        gap = F.when(F.size(F.array_compact(F.array(*said))) > 1, F.greatest(*said) - F.least(*said))
+    return df.withColumns({"delta": gap, "is_disagreement": S.is_disagreement(*said), "median_score": S.canonical_score(*said)})
 
 
 def missing_sides(results: DataFrame, models: list[str] = K.TEST_MODELS) -> DataFrame:

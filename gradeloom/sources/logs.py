@@ -30,7 +30,8 @@ def read_position_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_json(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+    """Append rows as JSON lines; times keep their microseconds."""
+    df.write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -5,13 +5,14 @@ import itertools
 import json
 import random
 import statistics
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from gradeloom import constants as K
 from gradeloom.functions import scores as S, text as T
-from gradeloom.operators import audits, costs, effects, frontier as P, judges, ordered, planning, resolve
+from gradeloom.operators import audits, cells, costs, effects, frontier as P, judges, ordered, planning, resolve
 from gradeloom.plans import work
 from gradeloom.sources import batches, cases as CS, logs, prompts as PR, results as R
 from gradeloom.streaming import jobs as SJ
@@ -278,3 +279,95 @@ def test_small_text_helpers(spark):
     h = spark.createDataFrame([("a", '{"x": 1, "y": 2}'), ("a", '{"y":2,"x":1}'), ("b", '{"y":2,"x":1}'), ("a", None)], "l string, c string").select(S.config_hash(F.col("l"), F.col("c")).alias("h")).collect()
     assert h[0] == h[1] and len({r["h"] for r in h}) == 3 and all(r["h"].startswith("sha256:") and len(r["h"]) == 23 for r in h)
     assert audits.histogram(spark.createDataFrame([(1.0,), (0.0,), (0.95,)], "s double"), "s").orderBy("bucket").collect()[9]["n"] == 2
+
+
+def test_a_success_follows_a_stored_failure(spark):
+    key = ["prompt_id", "model", "optimisation_lever", "config_hash", "run_attempt", "run_id"]
+    row = lambda p, error, ts, text: (p, "m", "l", "h", 1, "r", error, ts, text)
+    names = "prompt_id string, model string, optimisation_lever string, config_hash string, run_attempt int, run_id string, error string, ts int, response_text string"
+    stored = spark.createDataFrame([row("a", "RateLimit", 1, None), row("b", None, 1, "kept"), row("c", "Timeout", 1, None)], names)
+    batch = spark.createDataFrame([row("a", "RateLimit", 2, None), row("a", None, 3, "paid"), row("a", None, 4, "later"), row("b", None, 2, "again"), row("c", "Timeout", 2, None),
+                                   row("d", "Timeout", 1, None), row("d", None, 2, "good")], names)
+    assert set(key) == set(K.RESULT_KEY)
+    new = R.insert_new(stored, batch)
+    assert sorted((r.prompt_id, r.response_text) for r in new.collect()) == [("a", "paid"), ("d", "good")]
+    assert R.insert_new(stored.unionByName(new), batch).count() == 0
+
+
+def test_scores_without_a_rule_and_conflicts_keep_what_is_stored(spark):
+    results = spark.createDataFrame(
+        [("p1", "m", "l", "r1", 0, None, 0.4, 0.77), ("p2", "m", "l", "r1", 1, 0.1, 0.9, 0.66), ("p3", "m", "l", "r1", 1, 0.1, 0.9, None), ("p3", "m", "l", "r2", 1, 0.1, 0.9, 0.2), ("p4", "m", "l", "r1", 0, 0.2, 0.4, None)],
+        "prompt_id string, model string, optimisation_lever string, run_id string, judge_disagreement_flag int, judge_a_score double, judge_b_score double, canonical_score double")
+    cases = spark.createDataFrame([("p3", "m", "l", "r1", "0.500"), ("p3", "m", "l", "r2", "0.500"), ("p3", "m", "l", "r2", "0.700"), ("p9", "m", "l", "r1", "0.100")],
+                                  "prompt_id string, model string, lever string, run_id string, human_score string")
+    df, unmatched = resolve.populate_canonical(results, cases)
+    assert sorted((r.prompt_id, r.run_id, round(r.canonical_score, 3)) for r in df.collect()) == [("p1", "r1", 0.77), ("p2", "r1", 0.66), ("p3", "r1", 0.5), ("p3", "r2", 0.2), ("p4", "r1", 0.3)]
+    assert sorted((r.side, r.prompt_id, r.run_id) for r in unmatched.collect()) == [("cases", "p9", "r1"), ("conflict", "p3", "r2"), ("results", "p2", "r1")]
+    bad = resolve.score_problems(cases.drop("run_id"), spark.createDataFrame([("p3", "m", "l", "1.5"), ("p3", "m", "l", "0.5"), ("p7", "m", "l", "0.5")], "prompt_id string, model string, lever string, score string"))
+    assert sorted((r.prompt_id, r.reason) for r in bad.collect()) == [("p3", "invalid score"), ("p7", "unknown case")]
+
+
+def test_rows_without_latency_still_count(spark):
+    scores = spark.createDataFrame([("j", None, "down", 5.0), ("j", 10, None, 1.0), ("k", None, "down", 2.0)], "judge string, latency_ms bigint, judge_error string, cost_usd double")
+    got = {r.judge: (r.n_scored, r.n_errors, r.cost_usd, r.p50_ms) for r in audits.judge_summary(scores).collect()}
+    assert got == {"j": (2, 1, 6.0, 10), "k": (1, 1, 2.0, None)}
+
+
+def test_free_calls_and_failed_baselines(spark):
+    rows = spark.createDataFrame([("r", "p", "m", "baseline", 1, "a", None, 2.0, 10, 10, 5), ("r", "p", "m", "baseline", 2, "b", "Timeout", 0.0, 0, 0, 0), ("r", "p", "m", "caching", 1, "c", None, 1.0, 5, 10, 5)],
+                                 "run_id string, prompt_id string, model string, optimisation_lever string, run_attempt int, result_id string, error string, cost_usd double, input_tokens int, output_tokens int, latency_ms int")
+    assert [(x.cost_mult, x.input_mult) for x in cells.lever_ratios(rows).collect()] == [(0.5, 0.5)]
+    prices = costs.pricing(spark, [("m", 1.0, 2.0, 0.1, 1.25)])
+    calls = spark.createDataFrame([("m", 0, 0), ("m", 10, 0)], "model string, input_tokens int, output_tokens int")
+    assert sorted((x.input_tokens, x.predicted_mult) for x in costs.predicted_cache_multiplier(calls, prices).collect()) == [(0, None), (10, 0.1)]
+    free = spark.createDataFrame([("m", "a", 0.9, 0.0), ("n", "a", 0.5, 1.0)], "model string, lever string, mean_score double, mean_cost double")
+    assert P.headline_scalars(free).first()["cost_share"] is None
+    assert [x.cost_share for x in P.frontier_listing(free).collect()] == [None]
+
+
+def test_one_id_in_two_files_is_rejected(spark, tmp_path):
+    one = '[{"prompt_id": "p", "task_category": "extraction", "complexity": "easy", "input": {"system": "s", "user": "u"}, "scoring": {"tier_1_deterministic": {"expected": {"a": 1}}}, "metadata": {"input_tokens_approx": 1}}]'
+    (tmp_path / "a.json").write_text(one)
+    (tmp_path / "b.json").write_text(one)
+    valid, rejected = PR.read_prompts(spark, str(tmp_path))
+    assert valid.count() == 0 and [r.reasons for r in rejected.collect()] == [["duplicate prompt_id"]] * 2
+
+
+def test_infer_loses_only_the_rows_that_raise(spark):
+    def call(batch):
+        if (batch["prompt_id"] == 1).any():
+            raise RuntimeError("down")
+        return batch.assign(price=Decimal("1.50"), error=None)
+
+    rows = work.infer(spark.range(3).coalesce(1).withColumnRenamed("id", "prompt_id"), call, "prompt_id bigint,price decimal(10, 2),error string").collect()
+    assert sorted((r.prompt_id, r.error) for r in rows) == [(0, None), (1, "RuntimeError: down"), (2, None)]
+
+
+def test_job_state_is_freed_and_order_does_not_matter(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda b, s, x: (b, s, t0 + dt.timedelta(seconds=x))
+    batches = [[at("a", "completed", 500), at("b", "in_progress", 550)], [at("a", "submitted", 0), at("b", "submitted", 100)], [at("z", "submitted", 8000)], [at("z", "completed", 8100)], [at("y", "submitted", 20000)], [at("x", "submitted", 40000)]]
+    schema = "batch_id string, status string, ts timestamp"
+    (tmp_path / "in").mkdir()
+    q = SJ.job_outcomes(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    kept = []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run = q.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        run.awaitTermination()
+        kept.append(run.lastProgress["stateOperators"][0]["numRowsTotal"])
+    got = sorted((r.batch_id, r.status, r.age_s) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    every = spark.createDataFrame([r for b in batches for r in b], schema)
+    twin = SJ.job_outcomes_batch(every, F.lit(t0 + dt.timedelta(seconds=39400)))
+    assert got == sorted((r.batch_id, r.status, r.age_s) for r in twin.collect())
+    assert max(kept) >= 2 and kept[-1] <= 2
+
+
+def test_a_run_filter_reaches_the_scan(spark, tmp_path):
+    rows = R.conform_results(spark.createDataFrame([("r1", "a"), ("r2", "b")], "run_id string, prompt_id string").withColumn("optimisation_lever", F.lit("batch")))
+    R.append_results(rows, str(tmp_path / "t"))
+    plan = R.read_results(spark, str(tmp_path / "t"), ["r2"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [run_id" in plan or "PartitionFilters: [isnotnull(run_id" in plan
+    updated = R.read_results(spark, str(tmp_path / "t")).withColumn("rubric_score", F.lit(1.0)).withColumn("changed", F.lit(True))
+    R.rewrite_runs(updated.where("run_id = 'r2'"), str(tmp_path / "t"))
+    assert sorted((r.run_id, r.rubric_score) for r in R.read_results(spark, str(tmp_path / "t")).collect()) == [("r1", None), ("r2", 1.0)]

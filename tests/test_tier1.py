@@ -163,3 +163,23 @@ def test_money_and_clock_readings(spark):
     got = {r["t"]: (r["m"] and tuple(r["m"]), r["c"]) for r in df.select("t", A.parse_currency(F.col("t")).alias("m"), A.parse_time(F.col("t")).alias("c")).collect()}
     assert got == {"£1,200.50": ((1200.5, "£"), None), "12 usd": ((12.0, "$"), None), "-3 chf": ((-3.0, "chf"), None), "12": (None, None), "£x": (None, None),
                    "9:05 pm": (None, "21:05"), "24:00": (None, None), "9:60": (None, None)}
+
+
+DEEP = [  # response value, expected value, equal by the recursive rules
+    ('[[["x", "y"]]]', '[[["Y", "x"]]]', True), ("[[[1.001]]]", "[[[1.0]]]", True), ('[[[["X"]]]]', '[[[["x"]]]]', True), ('{"q": 100.0}', '{"q": 1e2}', True),
+    ('{"q": 1}', '{"q": true}', True), ('{"q": [1, 2]}', '{"q": [2, 1]}', False), ("[[[1]], [[1]]]", "[[[1]], [[2]]]", False), ('[{"a": 1.0}]', '[{"a": 1}]', True),
+    ("[[[1.5]]]", "[[[1]]]", False), ("[[[null]]]", "[[[null]]]", True), ("[[[true]]]", "[[[1]]]", False), ('{"a": {"b": "X"}}', '{"a": {"b": "x"}}', False),
+]
+
+
+@pytest.mark.parametrize("walk", [None, True])
+def test_values_of_any_depth(spark, walk):
+    prompts = [(f"p{i}", "extraction", '{"f": %s, "n": 1}' % e) for i, (_, e, _) in enumerate(DEEP)] + [("flat", "extraction", '{"n": 1}')]
+    rows = [(f"p{i}", "baseline", '{"f": %s, "n": 1}' % g) for i, (g, _, _) in enumerate(DEEP)] + [("flat", "baseline", '{"n": 1}'), ("p0", "batch", '{"f": [[["x"]]]}'), ("p0", "caching", '{"f": "x", "n": 1}')]
+    p = spark.createDataFrame(prompts, "prompt_id string, task_category string, expected string")
+    r = spark.createDataFrame(rows, "prompt_id string, optimisation_lever string, response_text string").withColumns(
+        {"error": F.lit(None).cast("string"), "optimisation_config": F.lit(None).cast("string"), "output_tokens": F.lit(1)})
+    got = {(x.prompt_id, x.optimisation_lever): x.tier_1_status for x in tier1.score_tier1(r, p, walk=walk).collect()}
+    for i, (_, _, same) in enumerate(DEEP):
+        assert got[(f"p{i}", "baseline")] == ("pass" if same else "fail_content"), DEEP[i]
+    assert got[("flat", "baseline")] == "pass" and got[("p0", "batch")] == got[("p0", "caching")] == "fail_schema"
