@@ -205,9 +205,13 @@ def cache_skip_reasons(spark, sf):
 
 @query("engagement", grid_sql(
     "SELECT run_id, count(*) FILTER (WHERE phase = 'write') AS n_writes, count(*) FILTER (WHERE phase = 'write' AND (provider = 'openai' OR cache_creation_tokens > 0)) AS n_writes_engaged, "
-    "count(*) FILTER (WHERE phase = 'read') AS n_reads, count(*) FILTER (WHERE phase = 'read' AND cached_tokens > 0) AS n_reads_engaged FROM ccalls GROUP BY 1", _CACHE_SQL))
+    "count(*) FILTER (WHERE phase = 'read') AS n_reads, count(*) FILTER (WHERE phase = 'read' AND cached_tokens > 0) AS n_reads_engaged, n_compressions, n_compressed, n_counts_missing FROM ccalls JOIN "
+    "(SELECT run_id, count(*) AS n_compressions, count(*) FILTER (WHERE compressed_tokens < original_tokens) AS n_compressed, CAST(0 AS BIGINT) AS n_counts_missing FROM wide WHERE lever = 'compression' GROUP BY 1) USING (run_id) "
+    "GROUP BY run_id, n_compressions, n_compressed, n_counts_missing", _CACHE_SQL))
 def engagement(spark, sf):
-    return effects.engagement(caching_calls(spark, sf)).select("run_id", "n_writes", "n_writes_engaged", "n_reads", "n_reads_engaged")
+    calls = caching_calls(spark, sf)
+    compressions = results(spark, sf).where("optimisation_lever = 'compression'").select(*[c for c in calls.columns if c in results(spark, sf).columns])
+    return effects.engagement(calls.unionByName(compressions, allowMissingColumns=True))
 
 
 @query("compression_effects", grid_sql(

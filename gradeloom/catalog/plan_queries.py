@@ -201,9 +201,10 @@ _LOG = ("log AS (SELECT ts, 'run-' || CAST(user_id % 20 AS STRING) AS run_id, ([
         "CASE WHEN event_type = 'error' THEN 'error' ELSE 'progress' END AS event FROM events)")
 
 
-@query("phase_log_audit", "WITH " + _LOG + " SELECT run_id, count(*) AS n_events, count(*) FILTER (WHERE event = 'error') AS n_errors, count(DISTINCT phase) AS n_phases, 9 - count(DISTINCT phase) AS n_missing FROM log GROUP BY 1")
+@query("phase_log_audit", "WITH " + _LOG + " SELECT run_id, count(*) AS n_events, count(*) FILTER (WHERE event = 'error') AS n_errors, string_agg(DISTINCT phase, ',' ORDER BY phase) AS phases, "
+       "array_to_string(list_sort(list_filter([" + ", ".join(f"'{p}'" for p in K.EXPECTED_PHASES) + "], lambda p: NOT list_contains(list(phase), p))), ',') AS missing_phases FROM log GROUP BY 1")
 def phase_log_audit(spark, sf):
-    return gates.phase_log_audit(phase_log(spark, sf)).select("run_id", "n_events", "n_errors", F.size("phases").cast("long").alias("n_phases"), F.size("missing_phases").cast("long").alias("n_missing"))
+    return gates.phase_log_audit(phase_log(spark, sf)).select("run_id", "n_events", "n_errors", F.array_join("phases", ",").alias("phases"), F.array_join("missing_phases", ",").alias("missing_phases"))
 
 
 @query("critical_gaps", grid_sql("SELECT run_id, count(*) AS n_rows, count(error) AS n_errors, count(*) FILTER (WHERE judge_a_score IS NULL) AS n_null_critical, CAST(0 AS BIGINT) AS n_config_missing FROM results GROUP BY 1"))
@@ -212,12 +213,15 @@ def critical_gaps(spark, sf):
 
 
 @query("run_quality_gates", grid_sql(
-    "SELECT run_id, check_name AS \"check\", ok FROM (SELECT run_id, unnest(['rows', 'batch jobs', 'no errors', 'no gaps', 'cache writes', 'cache reads', 'compressions', 'spend']) AS check_name, "
-    "unnest([count(*) >= 30, run_id = 'run-1', count(error) = 0, true, true, true, count(*) FILTER (WHERE optimisation_lever = 'compression' AND optimisation_config LIKE '%unavailable%') = 0, run_id <> 'run-2']) AS ok FROM results GROUP BY run_id)"))
+    "SELECT run_id, unnest(['rows', 'batch jobs', 'no errors', 'no gaps', 'cache writes', 'cache reads', 'compressions', 'spend']) AS \"check\", "
+    "unnest([n >= 30, run_id = 'run-1', errors = 0, true, true, true, n_un = 0, run_id <> 'run-2']) AS ok, unnest([CAST(n AS VARCHAR), CASE WHEN run_id = 'run-1' THEN '4' ELSE '0' END, CAST(errors AS VARCHAR), '0', '0/0', '0/0', "
+    "CAST(n_comp - n_un AS VARCHAR) || '/' || CAST(n_comp AS VARCHAR), CASE WHEN run_id = 'run-2' THEN '0.010000' ELSE '0.000000' END]) AS detail FROM (SELECT run_id, count(*) AS n, count(error) AS errors, "
+    "count(*) FILTER (WHERE optimisation_lever = 'compression') AS n_comp, count(*) FILTER (WHERE optimisation_lever = 'compression' AND optimisation_config LIKE '%unavailable%') AS n_un FROM results GROUP BY run_id) "
+    "UNION ALL SELECT run_id, unnest(['log errors', 'log phases']), unnest([e = 0, missing = '']), unnest([CAST(e AS VARCHAR), missing]) FROM (SELECT run_id, count(*) FILTER (WHERE event = 'error') AS e, "
+    "array_to_string(list_sort(list_filter([" + ", ".join(f"'{p}'" for p in K.EXPECTED_PHASES) + "], lambda p: NOT list_contains(list(phase), p))), ',') AS missing FROM log GROUP BY 1)", _LOG))
 def run_quality_gates(spark, sf):
     rows = results(spark, sf).withColumn("model_version", F.col("model"))
-    df = audit.run_quality_gates(rows, runs_of(rows), _grid_jobs(spark), phase_log(spark, sf))
-    return df.where(~F.col("check").startswith("log")).select("run_id", "check", "ok")
+    return audit.run_quality_gates(rows, runs_of(rows), _grid_jobs(spark), phase_log(spark, sf))
 
 
 @query("sweep_summary", grid_sql(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gradeloom import constants as K
 from gradeloom.functions import scores as S, text as T
-from gradeloom.operators.ordered import exact_median, nearest_rank
+from gradeloom.operators.ordered import exact_median, nearest_rank, running_total
 
 # fixed values: lower bounds and labels of the score buckets
 SCORE_BUCKETS = [(1.0, "1.00"), (0.8, "0.80–0.99"), (0.6, "0.60–0.79"), (0.4, "0.40–0.59"), (0.2, "0.20–0.39")]
@@ -154,8 +154,7 @@ def canonical_stats(results: DataFrame, slices: int | None = None) -> DataFrame:
                                  (F.sum(s * w) / F.sum(w)).alias("mean_score"), F.sum(s * w).alias("_s"), F.sum(s * s * w).alias("_q"))
     var = (F.col("_q") - F.col("_s") * F.col("_s") / F.col("n")) / (F.col("n") - 1)
     agg = agg.withColumn("stdev", F.when(F.col("n") > 1, F.sqrt(F.greatest(var, F.lit(0.0)))))
-    upto = Window.partitionBy("part").orderBy("canonical_score").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = df.withColumn("hi", F.sum("w").over(upto)).join(agg.select("part", "n"), "part")
+    ranked = running_total(df, ["part"], [s], {"hi": w}, slices).join(agg.select("part", "n"), "part")
     at = lambda r: F.max(F.when((F.col("hi") > r) & (F.col("hi") - w <= r), s))
     mid = ranked.groupBy("part").agg(((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("median"))
     return agg.join(mid, "part").select("part", "n", "min_score", "max_score", "mean_score", "median", "stdev")

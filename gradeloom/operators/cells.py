@@ -182,9 +182,9 @@ def status_of_other(results: DataFrame, a: str = "baseline", b: str = "batch") -
 
 def pass_set_diff(results: DataFrame, a: str = "baseline", b: str = "batch") -> DataFrame:
     """Per model: how the sets of passing prompts under two levers overlap."""
-    s = status_of_other(results, a, b).select(
-        "model", F.col("status_a").eqNullSafe("pass").alias("in_a"),
-        F.col("status_b").eqNullSafe("pass").alias("in_b"))
+    df = tier2(results).where(F.col("optimisation_lever").isin(a, b))
+    passed = lambda lv: F.bool_or((F.col("optimisation_lever") == lv) & F.col("tier_1_status").eqNullSafe("pass"))
+    s = df.groupBy("model", "prompt_id", "task_category").agg(passed(a).alias("in_a"), passed(b).alias("in_b"))
     both, only_a, only_b = F.col("in_a") & F.col("in_b"), F.col("in_a") & ~F.col("in_b"), F.col("in_b") & ~F.col("in_a")
     out = s.groupBy("model").agg(
         F.count_if("in_a").alias("pass_a"), F.count_if("in_b").alias("pass_b"), F.count_if(both).alias("both"),

@@ -130,18 +130,23 @@ def warm_calls(calls: DataFrame, ttl: int = K.CACHE_LIFETIME_SECONDS, key: list[
                            "warm": F.coalesce(gap <= ttl * 1_000_000, F.lit(False))}).drop("_b", "_prev", "_last")
 
 
-def engagement(results: DataFrame) -> DataFrame:
-    """Per run: cache writes and reads and compressions that took effect, out of how many."""
+def engagement_measures() -> list[Column]:
+    """Cache writes and reads and compressions that took effect, out of how many."""
     cfg = lambda k: F.get_json_object("optimisation_config", f"$.{k}")
     caching, compressing = F.col("optimisation_lever") == "caching", F.col("optimisation_lever") == "compression"
     write, read = caching & (cfg("cache_phase") == "write"), caching & (cfg("cache_phase") == "read")
     wrote = ((F.col("provider") == "anthropic") & (F.col("cache_creation_tokens") > 0)) | (F.col("provider") == "openai")
     original, compressed = cfg("original_input_tokens").cast("long"), cfg("compressed_input_tokens").cast("long")
-    return results.groupBy("run_id").agg(
+    return [
         F.count_if(write).alias("n_writes"), F.count_if(write & wrote).alias("n_writes_engaged"),
         F.count_if(read).alias("n_reads"), F.count_if(read & (F.col("cached_tokens") > 0)).alias("n_reads_engaged"),
         F.count_if(compressing).alias("n_compressions"), F.count_if(compressing & (compressed < original)).alias("n_compressed"),
-        F.count_if(compressing & (original.isNull() | compressed.isNull())).alias("n_counts_missing"))
+        F.count_if(compressing & (original.isNull() | compressed.isNull())).alias("n_counts_missing")]
+
+
+def engagement(results: DataFrame) -> DataFrame:
+    """The measures of ``engagement_measures`` per run."""
+    return results.groupBy("run_id").agg(*engagement_measures())
 
 
 def ratio_summary(results: DataFrame, by: list[str] = ("lever",), slices: int | None = None) -> DataFrame:
