@@ -163,11 +163,22 @@ PROMPT_COLUMNS = ["prompt_id", "task_category", "complexity", "system_text", "us
 
 
 # ---- Spark side ----------------------------------------------------------------------------------
+#: Folders of grids that ``store`` has written, by folder of the given tables.
+_STORED: dict[str, str] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """Read one of the given tables; a scan with fewer splits than cores is spread over them."""
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Read one of the given tables."""
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def store(spark: SparkSession, sf: str, path: str) -> None:
+    """Write the grid once; queries over ``sf`` then read it instead of deriving it from the orders each time."""
+    parts = spark.sparkContext.defaultParallelism
+    _STORED.pop(sf, None)
+    wide(spark, sf).repartition(4 * parts).write.parquet(f"{path}/wide")
+    prompts(spark, sf).repartition(parts).write.parquet(f"{path}/prompts")
+    _STORED[sf] = path
 
 
 def _prompt_frame(spark: SparkSession, sf: str) -> DataFrame:
@@ -180,11 +191,15 @@ def _prompt_frame(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, sf: str) -> DataFrame:
+    if sf in _STORED:
+        return spark.read.parquet(f"{_STORED[sf]}/prompts")
     return _prompt_frame(spark, sf).select(*PROMPT_COLUMNS)
 
 
 def wide(spark: SparkSession, sf: str) -> DataFrame:
     """Every rule column of the measurement grid."""
+    if sf in _STORED:
+        return spark.read.parquet(f"{_STORED[sf]}/wide")
     models = F.array(*[F.struct(F.lit(i).cast("long").alias("mi"), F.lit(m).alias("model"), F.lit(p).alias("provider"))
                        for i, m, p in MODELS])
     levers = F.array(*[F.struct(F.lit(i).cast("long").alias("li"), F.lit(lv).alias("lever")) for i, lv in LEVERS])
