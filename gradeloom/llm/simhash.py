@@ -146,8 +146,9 @@ def _label(rows: DataFrame, each: DataFrame, linked: DataFrame) -> DataFrame:
 
 #: Long fingerprints: 64-bit words, segments that are tables, and bits of a segment.
 WORDS, SEGMENTS, SEGMENT_BITS = 16, 128, 22
-#: Neighbours in a bucket that are compared with each row, besides the first of the bucket.
-NEIGHBOURS = 8
+#: Neighbours in a bucket that are compared with each of its first FULL rows, besides the first of the bucket; later rows, which
+#: only crowded buckets of alike texts have, are compared with the first alone, which differs from segment to segment.
+NEIGHBOURS, FULL = 4, 8
 SHINGLE, SIMILARITY = 5, 0.8
 
 
@@ -185,15 +186,18 @@ def similar_links(fps: DataFrame, similarity: float = SIMILARITY, words: int = W
                   neighbours: int = NEIGHBOURS) -> DataFrame:
     """Links (a, b) between rows (uid, fp) whose long fingerprints differ as little as texts of ``similarity`` do.
 
-    Equal segments are the tables.  In a bucket, sorted by the first word of the fingerprint, each
-    row is compared with the ``neighbours`` before it and with the first.
+    Equal segments are the tables.  In a bucket, sorted by ``uid``, each row is compared with the
+    ``neighbours`` before it and with the first.  The rows of a crowded bucket are compared with its
+    first alone; as a group's rows meet in many segments, each with a first of its own, alike rows
+    are joined several times over, by few pairs.
     """
     rows = fps.mapInArrow(_segment_rows(words, count, bits), "key long, uid long, word long")
-    order = Window.partitionBy("key").orderBy("word", "uid")
+    order = Window.partitionBy("key").orderBy("uid")
     before = [F.struct(F.lag("uid", i).over(order).alias("uid"), F.lag("word", i).over(order).alias("word")) for i in range(1, neighbours + 1)]
     first = F.struct(F.first("uid").over(order).alias("uid"), F.first("word").over(order).alias("word"))
     limit = math.floor(64 * differing_share(similarity, 64, 3.5))  # a loose test of one word before others are fetched
-    ranged = rows.select("uid", "word", F.array(*before, first).alias("others"))
+    others = F.when(F.row_number().over(order) <= FULL, F.array(*before, first)).otherwise(F.array(first))
+    ranged = rows.select("uid", "word", others.alias("others"))
     pairs = ranged.select("uid", F.explode(F.filter("others", lambda o: o["uid"].isNotNull() & (o["uid"] != F.col("uid")) & (F.bit_count(o["word"].bitwiseXOR(F.col("word"))) <= limit))).alias("o"))
     pairs = pairs.select(F.greatest("uid", "o.uid").alias("a"), F.least("uid", "o.uid").alias("b")).distinct()
     one, two = fps.toDF("a", "fp_a"), fps.toDF("b", "fp_b")

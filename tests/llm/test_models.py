@@ -260,3 +260,14 @@ def test_identical_and_moved_texts_align(spark):
     got = passages.repeated(frame(spark, rows)).where(F.col("other_id") == 1).collect()
     spans = {(r.doc_id, r.start, r.length, r.other_start) for r in got}
     assert (2, 0, 300, 0) in spans and (3, 0, 150, 150) in spans and (3, 150, 150, 0) in spans
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(13)
+    for _ in range(3):
+        links = [(rng.randrange(-30, 30), rng.randrange(-30, 30)) for _ in range(40)]
+        nodes = {x for a, b in links if a != b for x in (a, b)}
+        roots = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+        want = closed(nodes, [(a, b) for a, b in links if a != b])
+        assert set(roots) == nodes
+        assert all((want[x] == want[y]) == (roots[x] == roots[y]) for x in nodes for y in nodes)
