@@ -216,3 +216,11 @@ def judge_audit_table(spark, sf):
     """The whole judge audit as one table; the measures with a plain SQL form are compared."""
     df = audit.judge_audit(scores(spark, sf), pairs(spark, sf), judges.position_map(scores(spark, sf).select("prompt_id", "lever").distinct()))
     return df.where("(audit = 'range' AND measure = 'n') OR (audit = 'summary' AND measure IN ('n_errors', 'n_scored')) OR (audit = 'disagreement' AND measure IN ('n_disagree', 'n_pairs'))")
+
+
+@query("approx_latency", grid_sql(
+    "SELECT model, count(*) AS n, quantile_disc(latency_ms, 0.5) AS p50_ms, quantile_disc(latency_ms, 0.95) AS p95_ms FROM results WHERE optimisation_lever <> 'batch' GROUP BY 1"))
+def approx_latency(spark, sf):
+    """The sketch at an accuracy beyond the rows compared, where it is exact."""
+    rows = results(spark, sf).where("optimisation_lever <> 'batch'")
+    return audits.approx_percentiles(rows, "latency_ms", {"p50_ms": 0.5, "p95_ms": 0.95}, ["model"], 1_000_000)

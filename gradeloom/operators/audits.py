@@ -72,6 +72,13 @@ def judge_summary(scores: DataFrame, fx: float = K.GBP_USD_RATE, slices: int | N
     return df.withColumn("cost_gbp", S.to_gbp(F.col("cost_usd"), fx))
 
 
+def approx_percentiles(df: DataFrame, column: str, points: dict[str, float], by: list[str], accuracy: int = 10_000) -> DataFrame:
+    """Percentiles from a mergeable sketch: one pass and no order, with a rank error of at most 1 / accuracy."""
+    found = F.percentile_approx(column, F.array(*map(F.lit, points.values())), accuracy)
+    out = df.groupBy(*by).agg(found.alias("_p"), F.count(column).alias("n"))
+    return out.select(*by, "n", *[F.get(F.col("_p"), F.lit(i)).alias(name) for i, name in enumerate(points)])
+
+
 def score_range(scores: DataFrame) -> DataFrame:
     """One row: count, share in [0, 1], min, max, mean."""
     df = scores.where(F.col("score").isNotNull())
