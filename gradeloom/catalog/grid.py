@@ -176,12 +176,14 @@ def store(spark: SparkSession, sf: str, path: str) -> None:
     """Write the grid once; queries over ``sf`` then read it instead of deriving it from the orders each time."""
     parts = spark.sparkContext.defaultParallelism
     _STORED.pop(sf, None)
+    _prompt_frame(spark, sf).repartition(4 * parts).write.parquet(f"{path}/frame")
     wide(spark, sf).repartition(4 * parts).write.parquet(f"{path}/wide")
-    prompts(spark, sf).repartition(parts).write.parquet(f"{path}/prompts")
     _STORED[sf] = path
 
 
 def _prompt_frame(spark: SparkSession, sf: str) -> DataFrame:
+    if sf in _STORED:
+        return spark.read.parquet(f"{_STORED[sf]}/frame")
     df = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority", "o_orderstatus")
     df = df.selectExpr(
         *[f"{e} AS {c}" for c, e in PROMPT_RULES.items()], "CAST(o_orderdate AS TIMESTAMP) AS ts")
@@ -191,8 +193,6 @@ def _prompt_frame(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, sf: str) -> DataFrame:
-    if sf in _STORED:
-        return spark.read.parquet(f"{_STORED[sf]}/prompts")
     return _prompt_frame(spark, sf).select(*PROMPT_COLUMNS)
 
 
