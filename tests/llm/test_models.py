@@ -192,6 +192,29 @@ def test_one_of_each_group_of_similar_texts_stays(spark):
     assert simhash.keep_one(frame(spark, rows).where("false")).count() == 0
 
 
+def templated(n, alike, seed):
+    """Pages that share a template: any two have about ``alike`` of their runs of five words in common."""
+    rng = random.Random(seed)
+    common = round(400 * 2 * alike / (1 + alike))
+    head = prose(common, rng)
+    return [head + " " + " ".join(f"{rng.getrandbits(32):x}" for _ in range(400 - common)) for _ in range(n)]
+
+
+def test_near_copies_among_pages_of_one_template_all_go(spark):
+    pages = templated(2000, 0.65, 21)
+    rng = random.Random(22)
+    for i in range(300):  # page 1000 + i becomes a copy of page i that is 0.8 to 0.9 alike
+        words = pages[i].split()
+        for at in rng.sample(range(20, 380, 6), rng.randrange(4, 9)):
+            words[at] = f"{rng.getrandbits(32):x}"
+        pages[1000 + i] = " ".join(words)
+    sets = [{tuple(w[j:j + 5]) for j in range(len(w) - 4)} for w in map(str.split, pages)]
+    jaccard = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(jaccard(i, 1000 + i) >= 0.8 for i in range(300))
+    got = {r.doc_id for r in simhash.keep_one(frame(spark, list(enumerate(pages)))).collect()}
+    assert got == set(range(2000)) - set(range(1000, 1300))
+
+
 def slow_chain_score(x, y):
     best = []
     for i in sorted(range(len(x)), key=lambda i: (x[i], y[i])):
