@@ -147,8 +147,8 @@ def _label(rows: DataFrame, each: DataFrame, linked: DataFrame) -> DataFrame:
 
 #: Words of a shingle, the least Jaccard similarity of a near copy, and bits of the table of shingle counts.
 SHINGLE, SIMILARITY, COUNT_BITS = 5, 0.8, 18
-#: Rounds in which each text meets two others, before all that are still apart meet.
-ROUNDS = 2
+#: Rounds in which each text meets one other, before all that are still apart meet.
+ROUNDS = 3
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -241,8 +241,8 @@ def similar_links(texts: DataFrame, prefixes: DataFrame, size: int = SHINGLE, si
     lack of a like one, and one more.  Two sets that are alike share one of them (prefix filter),
     and their first common one leaves enough behind it (positional filter); shingles that
     many pages share come last in the order, so strangers of one template do not meet.  For a
-    few rounds each text meets the first of one bucket and the one before it in another, which joins large groups by few
-    pairs.  Then all texts of a bucket that are not joined yet meet, so no pair is left out.
+    few rounds each text meets one other: of the first ones of its buckets and those before it, the
+    one it shares most buckets with.  That joins large groups by few pairs.  Then all texts of a bucket that are not joined yet meet, so no pair is left out.
     """
     rows = prefixes.select("uid", "n", F.explode(F.arrays_zip("keys", "places")).alias("k")).select(F.col("k.keys").alias("key"), "uid", "n", F.col("k.places").alias("place"))
     shared = staged(rows.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("rows > 1").drop("rows"), "buckets")
@@ -266,9 +266,9 @@ def similar_links(texts: DataFrame, prefixes: DataFrame, size: int = SHINGLE, si
         order = Window.partitionBy("key").orderBy(*(["n", "uid"] if number == 0 else [F.xxhash64(F.lit(number), "uid"), "uid"]))
         row = F.struct("uid", "n", "place", "root")
         met = rooted().select("uid", "n", "place", "root", F.first(row).over(order).alias("first"), F.lag(row).over(order).alias("before"))
-        apart = lambda o: F.when((F.col(o)["root"] != F.col("root")) & _possible(me, F.col(o), similarity), F.col(o)["uid"])
-        chosen = met.groupBy("uid").agg(F.min(apart("first")).alias("first"), F.max(apart("before")).alias("before"))
-        judge(chosen.select(F.col("uid").alias("x"), F.explode(F.array("first", "before")).alias("y")).where("y is not null"))
+        met = met.select("uid", "n", "place", "root", F.explode(F.array("first", "before")).alias("o"))
+        met = met.where((F.col("o.root") != F.col("root")) & _possible(me, F.col("o"), similarity)).groupBy("uid", F.col("o.uid").alias("other")).agg(F.count(F.lit(1)).alias("keys"))
+        judge(met.groupBy("uid").agg(F.max(F.struct("keys", "other")).alias("most")).select(F.col("uid").alias("x"), F.col("most.other").alias("y")))
         known = components(links)
     all_rows = staged(rooted(), "rooted")
     sizes = all_rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows"))
