@@ -92,6 +92,19 @@ def test_classifier_without_labels_or_documents(spark):
     assert good.columns == docs.columns and {r.kept for r in good.collect()} == {"own"}
 
 
+def test_short_bad_texts_are_rejected_beside_long_ones(spark):
+    rng = random.Random(23)
+    junk = lambda text, share: " ".join(rng.choice(["###", "$$$", "BUY!!", "click>>"]) if rng.random() < share else w for w in text.split())
+    rows = [(i, prose(1000 if i % 2 else 30, rng)) for i in range(2000)]
+    rows = [(i, junk(t, 0.7 if i % 10 < 2 else 0.3 if i % 100 == 33 else 0)) for i, t in rows]  # some odd good texts, all long
+    labels = spark.createDataFrame([(i, int(i % 10 >= 2), 0) for i in range(2000)], "doc_id long, quality int, toxic int")
+    held = {r.doc_id for r in quality_model.labelled(labels).where("fold = 1").collect()}
+    kept = {r.doc_id for r in quality_model.classify(frame(spark, rows), labels).where("kept").collect()}
+    for long in (0, 1):
+        bad, good = ([i for i in held if i % 2 == long and (i % 10 < 2) == b] for b in (True, False))
+        assert len(set(bad) & kept) <= 0.05 * len(bad) and len(set(good) & kept) >= 0.97 * len(good)
+
+
 @pytest.mark.parametrize("k", [1, 7, 500, 1000])
 def test_kth_largest(spark, k):
     values = [float(i % 90) for i in range(700)] + [5.0] * 300
