@@ -28,7 +28,7 @@ from gradeloom.llm.common import shared_folder, staged
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of a split, of an archive before the writer starts the next, of one read and of one step of decoding.
 SPLIT, ROTATE, READ, FEED = 32 << 20, 512 << 20, 1 << 20, 1 << 14
-#: A record header must end within this many bytes.
+#: Bytes that are decoded at first to see a record header; longer ones are decoded further.
 HEADER = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -157,7 +157,7 @@ def member(window: Buffer, limit: int | None = None) -> tuple[bytes, int] | None
 
 def head_of(data: bytes) -> dict[str, str] | None:
     """The named fields of a record's header, names in lower case."""
-    end = data.find(b"\r\n\r\n", 0, HEADER)
+    end = data.find(b"\r\n\r\n")
     if not data.startswith(b"WARC/") or end < 0:
         return None
     lines = [x.partition(":") for x in data[:end].decode("utf-8", "replace").split("\r\n")[1:]]
@@ -170,8 +170,14 @@ def is_member(window: Buffer) -> bool:
         pass
     if window.part(0, len(MAGIC)) != MAGIC:
         return False
-    found = member(window, HEADER)
-    return found is not None and head_of(found[0]) is not None
+    limit = HEADER
+    while (found := member(window, limit)) is not None:
+        if not found[0].startswith(b"WARC/"):
+            return False
+        if b"\r\n\r\n" in found[0] or found[1]:
+            return head_of(found[0]) is not None
+        limit *= 4
+    return False
 
 
 def seek_member(window: Buffer, end: int) -> bool:
@@ -264,7 +270,8 @@ def _parse(path: str, offset: int, content: bytes, payloads: bool) -> Iterator[t
     """A row for each record of a member."""
     at = 0
     while at < len(content):
-        head = head_of(content[at:at + HEADER])
+        blank = content.find(b"\r\n\r\n", at)
+        head = head_of(content[at:blank + 4]) if blank >= 0 else None
         if head is None:
             yield (path, offset, None, None, None, None, None, None, None, "no WARC header")
             return

@@ -7,6 +7,7 @@ import random
 import struct
 import zlib
 from collections import Counter, defaultdict
+from urllib.parse import quote
 
 import numpy as np
 import public_tokenizers as P
@@ -124,6 +125,14 @@ def test_warc_round_trip(spark, split):
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, bytes(r.payload)) for r in rows) == want
 
 
+@pytest.mark.parametrize("split", [1000, 1 << 30])
+def test_urls_of_any_length_keep_their_pages(spark, split):
+    urls = ["data:text/html," + "a1b2" * 25_000, "http://e/" + "語" * 100_000, "data:," + hashlib.sha512(b"u").hexdigest() * 1000, "http://e/short"]
+    rows = [(i, u, f"<p>{i}</p>") for i, u in enumerate(urls)]
+    got = warc.read(warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)), split).collect()
+    assert sorted((r.page_id, r.target_uri, bytes(r.payload).decode(), r.error) for r in got) == [(i, quote(u, safe=":/,"), h, None) for i, u, h in rows]
+
+
 def test_warc_of_nothing(spark):
     archives = warc.write(pages(spark).where("false"))
     assert archives.count() == 0 and warc.read(archives).count() == 0
