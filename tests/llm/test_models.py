@@ -228,6 +228,12 @@ def test_near_copies_among_pages_of_one_template_all_go(spark):
     assert got == set(range(2000)) - set(range(1000, 1300))
 
 
+@pytest.mark.parametrize("alike", [0.67, 0.72])
+def test_pages_of_one_template_below_the_similarity_all_stay(spark, alike):
+    pages = templated(600, alike, 24)
+    assert simhash.keep_one(frame(spark, list(enumerate(pages)))).count() == 600
+
+
 def slow_chain_score(x, y):
     best = []
     for i in sorted(range(len(x)), key=lambda i: (x[i], y[i])):
