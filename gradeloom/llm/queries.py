@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeloom.llm import exact_dedup, mixing, packing, passages, quality_model, quality_rules, simhash, token_counts, url_rules, warc
+from gradeloom.llm import (exact_dedup, fill_middle, language_id, mixing, packing, passages, quality_model, quality_rules, simhash, target_sampling,
+                           token_counts, url_rules, warc)
 
 #: The same vocabulary for the two libraries.
 TOKENIZER, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -168,3 +169,69 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_passages")
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated(table(spark, sf_dir, "documents"))
+
+
+@query("op11_language_id")
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.fit(language_id.labelled(docs)))
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query("op12_fill_middle", r"""
+WITH rows AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, sha256('42:' || CAST(doc_id AS VARCHAR)) AS hex,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens
+  FROM documents),
+drawn AS (
+  SELECT *, len(tokens) AS n, CAST('0x' || substr(hex, 1, 8) AS BIGINT) % (len(tokens) + 1) AS x, CAST('0x' || substr(hex, 9, 8) AS BIGINT) % (len(tokens) + 1) AS y,
+         CAST('0x' || substr(hex, 17, 8) AS BIGINT) % 100 AS h3, CAST('0x' || substr(hex, 25, 8) AS BIGINT) % 100 AS h4
+  FROM rows),
+cuts AS (
+  SELECT *, array_to_string(tokens[1:least(x, y)], '') AS prefix, array_to_string(tokens[least(x, y) + 1:greatest(x, y)], '') AS middle,
+         array_to_string(tokens[greatest(x, y) + 1:], '') AS suffix,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 >= 50 THEN 'plain' WHEN h4 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM cuts""")
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transform(table(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+@query("op13_target_sampling", r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, true AS raw, coalesce(text, '') AS text FROM documents UNION ALL SELECT NULL, NULL, false, coalesce(text, '') FROM benchmark),
+cut AS (
+  SELECT r, doc_id, raw, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words
+  FROM texts),
+runs AS (
+  SELECT r, raw, unnest(words) AS f FROM cut UNION ALL
+  SELECT r, raw, unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) FROM cut),
+counted AS (SELECT r, raw, f, count(*) AS c FROM runs GROUP BY ALL),
+bytes AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM counted)),
+nibbles AS (
+  SELECT f, list_concat([4294967295::BIGINT], flatten(list_transform(range(0, length(h) // 2), lambda i: [instr('123456789ABCDEF', substr(h, 2 * i + 2, 1)), instr('123456789ABCDEF', substr(h, 2 * i + 1, 1))]))) AS l
+  FROM bytes),
+hashed AS (
+  SELECT f, xor(list_reduce(l, lambda c, b: xor(c >> 4, [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580,
+                                                        3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108][xor(c, b) % 16 + 1])), 4294967295::BIGINT) % 10000 AS b
+  FROM nibbles),
+folded AS (SELECT r, raw, b, sum(c) AS c FROM counted JOIN hashed ON counted.f = hashed.f GROUP BY ALL),
+sides AS (SELECT b, coalesce(sum(c) FILTER (raw), 0) AS s, coalesce(sum(c) FILTER (NOT raw), 0) AS t FROM folded GROUP BY b),
+sums AS (SELECT sum(s) AS sn, sum(t) AS tn FROM sides),
+gain AS (
+  SELECT b, CAST(floor(1000 * ln(((t + 1)::DOUBLE * (sn + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (tn + 10000)::DOUBLE))) AS BIGINT) AS g FROM sides, sums),
+weighed AS (SELECT r, CAST(sum(c) AS BIGINT) AS n_features, CAST(floor(sum(c * g)::DOUBLE / sum(c)::DOUBLE) AS BIGINT) AS weight FROM folded JOIN gain ON folded.b = gain.b WHERE raw GROUP BY r),
+scored AS (
+  SELECT cut.r, doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM cut LEFT JOIN weighed ON cut.r = weighed.r WHERE raw),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS k, count(*) FILTER (n_words >= 20) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND k <= 25 * n // 100 THEN k END AS rank FROM ranked""")
+def op13_target_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = target_sampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
