@@ -126,6 +126,16 @@ def frontier(spark, sf):
     return r9(A.cost_quality_frontier(results(spark, sf)), "mean_score", "mean_cost")
 
 
+@query("frontier_points", grid_sql(
+    "SELECT task_category, CASE WHEN -b.nq > q OR (-b.nq = q AND b.c < c) THEN b.l END AS dominator, count(*) AS n, round(sum(q), 6) AS sum_quality FROM "
+    "(SELECT *, min({'nq': -q, 'c': c, 'l': result_id}) OVER (PARTITION BY task_category ORDER BY c RANGE UNBOUNDED PRECEDING) AS b FROM "
+    "(SELECT task_category, result_id, canonical_score AS q, cost_usd AS c FROM results WHERE canonical_score IS NOT NULL AND cost_usd IS NOT NULL)) GROUP BY 1, 2"))
+def frontier_points(spark, sf):
+    """The frontier of all calls, not of cells: how many calls each frontier call is the strongest dominator of (NULL: the frontier itself)."""
+    points = P.frontier_points(results(spark, sf).select("task_category", "result_id", "canonical_score", "cost_usd"), ["task_category"], ["result_id"], "canonical_score", "cost_usd")
+    return points.groupBy("task_category", F.col("dominated_by.result_id").alias("dominator")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("canonical_score"), 6).alias("sum_quality"))
+
+
 @query("frontier_by_category", grid_sql(
     "SELECT task_category, model, lever, n_rows, round(mean_score, 9) AS mean_score, round(mean_cost, 9) AS mean_cost, "
     "dm IS NULL AS pareto_optimal, dm AS dominated_by_model, dl AS dominated_by_lever FROM dominance WHERE rk = 1",

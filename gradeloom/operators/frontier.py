@@ -2,6 +2,7 @@
 
 Cells number categories x models x levers, whatever the size of the fact table.  Dominance is
 decided by one ordered window (best quality at or below each cost), not by comparing pairs.
+``frontier_points`` does the same for raw rows, whatever the size of a group.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gradeloom import constants as K
+from gradeloom.operators.ordered import running_least
 
 
 def _partition(by: list[str] | None) -> list[Column]:
@@ -38,6 +40,25 @@ def frontier(cells_df: DataFrame, by: list[str] | None = None, quality: str = "m
     }).drop("_best")
 
 
+def frontier_points(points: DataFrame, by: list[str], label: list[str], quality: str = "quality", cost: str = "cost", slices: int | None = None) -> DataFrame:
+    """``frontier`` for raw points, with groups of any size: every point, whether nothing dominates it, and its strongest dominator.
+
+    Points are ordered by cost and falling quality.  All that can dominate a point come before it, so the
+    best so far (highest quality, lowest cost, first label) decides, by a prefix scan over range slices that no
+    group is too large for.  ``dominated_by`` is that point's label, a struct of ``label``, NULL on the frontier.
+    Equal points do not dominate each other; points with a NULL or NaN on either axis are left out.
+    """
+    known = points.where(F.col(quality).isNotNull() & F.col(cost).isNotNull() & ~F.isnan(F.col(quality).cast("double")) & ~F.isnan(F.col(cost).cast("double")))
+    best = F.struct((-F.col(quality)).alias("nq"), F.col(cost).alias("c"), F.struct(*label).alias("label"))
+    order = [F.col(cost), F.desc(quality), *[F.col(c) for c in label], F.col("_row")]
+    df = running_least(known.withColumn("_row", F.monotonically_increasing_id()), by, order, best, "_best", slices).drop("_row")
+    dominated = (-F.col("_best.nq") > F.col(quality)) | ((-F.col("_best.nq") == F.col(quality)) & (F.col("_best.c") < F.col(cost)))
+    return df.withColumns({
+        "pareto_optimal": ~dominated, "dominated_by": F.when(dominated, F.col("_best.label")),
+        "dominator_quality": F.when(dominated, -F.col("_best.nq")), "dominator_cost": F.when(dominated, F.col("_best.c")),
+    }).drop("_best")
+
+
 def _cell(quality: str, cost: str) -> Column:
     return F.struct("model", "lever", F.col(quality).alias("quality"), F.col(cost).alias("cost"))
 

@@ -47,6 +47,21 @@ def _join_slices(rows: DataFrame, offsets: DataFrame, by: list[str]) -> DataFram
     return rows.join(right, on).drop("_k_slice", *[f"_k_{c}" for c in by])
 
 
+def running_least(df: DataFrame, by: list[str], order: list[Column], value: Column, name: str, slices: int | None = None) -> DataFrame:
+    """Add the least ``value`` (of any type that has an order, such as a struct) up to each row within ``by`` along ``order``.
+
+    The prefix scan of ``running_total`` with a minimum: each slice's least value goes to all later
+    slices of its group, so a group of any size is worked on in as many tasks as it has slices.
+    NULL values are passed over.  ``order`` should end in a unique column.
+    """
+    rows = sliced(df.withColumn("_v", value), by, order, slices)
+    totals = rows.groupBy(*by, _SLICE).agg(F.min("_v").alias("_t"))
+    before = Window.partitionBy(*by).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, _SLICE, F.min("_t").over(before).alias("_o"))
+    inside = Window.partitionBy(*by, _SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return _join_slices(rows, offsets, by).withColumn(name, F.least("_o", F.min("_v").over(inside))).drop(_SLICE, "_v", "_o")
+
+
 def position(df: DataFrame, by: list[str], order: list[Column], name: str = "pos", slices: int | None = None) -> DataFrame:
     """Add the 0-based position within ``by`` along ``order``."""
     return running_total(df, by, order, {name: F.lit(1).cast("long")}, slices).withColumn(name, F.col(name) - 1)
