@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradeloom import constants as K
 from gradeloom.functions import jsonvalues as J
+from gradeloom.sources.ranges import json_items
 
 # fixed values: the keys each object may have
 TOP_KEYS = ["prompt_id", "task_category", "complexity", "input", "scoring", "metadata"]
@@ -80,8 +81,13 @@ def check_prompts(objects: DataFrame, value: str = "value", source: str = "sourc
     return valid, rejected
 
 
-def read_prompts(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
-    """Read JSON array files; an unreadable file becomes one rejected row, not an error."""
+def read_prompts(spark: SparkSession, *paths: str, ranges: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Read JSON array files; an unreadable file becomes one rejected row, not an error.
+
+    A file is read by one task, or with ``ranges`` by as many tasks as it has byte ranges, in two passes.
+    """
+    if ranges:
+        return check_prompts(json_items(spark, *paths))
     files = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("source"), "value")
     arrays = files.select("source", F.from_json("value", "array<variant>").alias("a"))
     return check_prompts(arrays.select("source", F.explode_outer("a").alias("value")))
