@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradeloom import constants as K
-from gradeloom.catalog import query
+from gradeloom.catalog import SQL, query
 from gradeloom.catalog.cost_queries import runs_of
 from gradeloom.catalog.grid import grid_sql, prompts, results, table, wide
 from gradeloom.catalog.judge_queries import PAIRS, REPLIES, pairs, scores
@@ -62,6 +62,36 @@ def prompt_rejects(spark, sf):
     return written_prompts(spark, sf)[1].groupBy("prompt_id", F.array_join("reasons", ",").alias("reasons")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def one_array(objects: DataFrame, path: str) -> None:
+    """Write JSON texts as one file with one array, item by item."""
+    import pyarrow as pa
+
+    def joined(parts):
+        for batch in parts:
+            yield pa.RecordBatch.from_arrays([pa.array([x + "," for x in batch.column(0).to_pylist()])], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(['{"prompt_id": 1}]'])], ["value"])
+
+    opened = objects.sparkSession.createDataFrame([("[",)], "value string").coalesce(1)
+    opened.unionByName(objects.select("value").coalesce(1).mapInArrow(joined, "value string")).coalesce(1).write.option("lineSep", " ").text(path)
+
+
+def ranged_prompts(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """All prompt objects in one file without line breaks, read in byte ranges; its last item is no prompt."""
+    path = folder(spark, "prompt-array")
+    one_array(prompt_objects(spark, sf), path)
+    return prompt_source.read_prompts(spark, path, ranges=True)
+
+
+@query("prompt_file_ranges", SQL["prompt_files"])
+def prompt_file_ranges(spark, sf):
+    return ranged_prompts(spark, sf)[0].select("prompt_id", "task_category", "complexity", "system_text", "user_text", "criteria", "input_tokens_approx")
+
+
+@query("prompt_range_rejects", SQL["prompt_rejects"] + " UNION ALL SELECT '1', 'prompt_id,task_category,complexity,input,scoring,at least one tier,metadata', CAST(1 AS BIGINT)")
+def prompt_range_rejects(spark, sf):
+    return ranged_prompts(spark, sf)[1].groupBy("prompt_id", F.array_join("reasons", ",").alias("reasons")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- cases, logs, tables -------------------------------------------------------------------------
 @query("case_files", grid_sql(
     "SELECT prompt_id, model, lever, printf('%.3f', fa) AS a, printf('%.3f', fb) AS b FROM (SELECT *, a AS fa, b AS fb FROM pairs) WHERE dis", REPLIES, PAIRS))
@@ -73,6 +103,16 @@ def case_files(spark, sf):
     return rows.select("prompt_id", "model", "lever", F.format_string("%.3f", "judge_a_score").alias("a"), F.format_string("%.3f", "judge_b_score").alias("b"))
 
 
+@query("case_file_ranges", SQL["case_files"])
+def case_file_ranges(spark, sf):
+    """The same cases as one file, with notes of several lines, read in byte ranges."""
+    path = folder(spark, "case-file")
+    notes = F.concat(F.lit('said "'), "prompt_id", F.lit('",\nand more'))
+    case_files_io.write_cases(case_files_io.disagreement_cases(pairs(spark, sf)).withColumn("human_note", notes).coalesce(1), path)
+    rows = case_files_io.read_cases(spark, path, ranges=True).where(F.col("human_note") == notes)
+    return rows.select("prompt_id", "model", "lever", F.format_string("%.3f", "judge_a_score").alias("a"), F.format_string("%.3f", "judge_b_score").alias("b"))
+
+
 @query("phase_log_round_trip", "WITH " + _LOG + " SELECT run_id, phase, event, count(*) AS n, CAST(epoch_us(max(ts)) AS BIGINT) AS last_us FROM log GROUP BY 1, 2, 3")
 def phase_log_round_trip(spark, sf):
     path = folder(spark, "phases")
