@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gradeloom.llm.common import SPACE_CHARS, fresh, staged, text_or_empty
+from gradeloom.llm.common import SPACE_CHARS, fresh, numbered, staged, text_or_empty
 
 COUNTERS = 512
 
@@ -81,12 +81,21 @@ def mark(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counters:
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counters: int = COUNTERS) -> DataFrame:
     """The documents that stay, with all their columns, one row for each distinct text.
 
-    Extra columns pass through whatever their names; the columns used inside get names of their own.
+    The winner is that of ``mark``; of rows that repeat its id, text length and normalised text one stays.  Losers of
+    heavy groups go where they lie, by the broadcast winners; the rest is decided on narrow rows.  Extra columns
+    pass through whatever their names; an empty table stays empty.
     """
-    digest, key, row = fresh(docs, "text_digest", "kept_id", "copy_number")
-    kept = (mark(docs, doc_id, text, counters).where("kept").select(F.col("doc_id").alias(key), F.unhex("text_sha256").alias("digest_"))
-            .dropDuplicates([key, "digest_"]))
-    rows = docs.withColumn(digest, F.unhex(F.sha2(without_space(text_or_empty(text)), 256)))
-    on = rows[doc_id].eqNullSafe(kept[key]) & (rows[digest] == kept["digest_"])
-    same = Window.partitionBy(doc_id, digest).orderBy(F.desc(F.char_length(text_or_empty(text))))
-    return rows.join(kept, on, "left_semi").withColumn(row, F.row_number().over(same)).where(F.col(row) == 1).select(*docs.columns)
+    number, digest, winner, heavy_digest = fresh(docs, "row_number", "text_digest", "heavy_winner", "heavy_digest")
+    rows = numbered(docs, number)
+    whole = text_or_empty(text)
+    best = F.max(F.struct("n_points", F.col("id").isNotNull().alias("named"), (-F.col("id")).alias("low"), (-F.col("uid")).alias("first"))).alias("best")
+    narrow = staged(rows.select(F.col(number).alias("uid"), F.col(doc_id).cast("long").alias("id"), F.unhex(F.sha2(without_space(whole), 256)).alias("digest"),
+                                F.char_length(whole).alias("n_points")), "digests")
+    candidates = heavy_candidates(narrow, "digest", counters)
+    heavy = staged(narrow.join(F.broadcast(candidates), "digest", "left_semi").groupBy("digest").agg(best).select("digest", (-F.col("best.first")).alias("uid")), "heavy")
+    light = narrow.join(F.broadcast(heavy.select("digest")), "digest", "left_anti").groupBy("digest").agg(best)  # at most ``counters`` rows
+    stay = staged(light.select((-F.col("best.first")).alias("uid")).unionByName(heavy.select("uid")), "stay")
+    marked = rows.withColumn(digest, F.unhex(F.sha2(without_space(whole), 256)))
+    marked = marked.join(F.broadcast(heavy.select(F.col("digest").alias(heavy_digest), F.col("uid").alias(winner))), F.col(digest) == F.col(heavy_digest), "left")
+    left = marked.where(F.col(winner).isNull() | (F.col(winner) == F.col(number))).drop(digest, heavy_digest, winner)
+    return left.join(stay.withColumnRenamed("uid", winner), F.col(number) == F.col(winner), "left_semi").select(*docs.columns)

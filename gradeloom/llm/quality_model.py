@@ -171,8 +171,9 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     sample = staged(labelled(labels, bound, seed), "labelled")
     model = fit(docs, sample, doc_id, text, bits)
     rows = staged(log_weights(docs, model, doc_id, text, seed), "weights")
-    held = rows.join(F.broadcast(sample.where("fold = 1").select("doc_id", "quality")), "doc_id").select("n_grams", "log_weight", "quality")
-    bands = cuts([tuple(r) for r in held.collect()])  # of at most ``bound`` labelled ids
+    held = rows.join(F.broadcast(sample.where("fold = 1").select("doc_id", "quality")), "doc_id").select("doc_id", F.struct("n_grams", "log_weight", "quality").alias("h"))
+    held = held.groupBy("doc_id").agg(F.min("h").alias("h")).select("h.*")  # a row an id, however often it repeats
+    bands = cuts([tuple(r) for r in held.collect()])  # at most ``bound`` rows
     cut = F.lit(bands[0][1] if bands else 0.0)
     for n, value in bands[1:]:
         cut = F.when(F.col("n_grams") >= n, F.lit(value)).otherwise(cut)

@@ -6,16 +6,10 @@ in a ball of one bit around a left half, and a table by right half for equal one
 side whose bit is 0 asks, so each pair comes up once.  Matches count when the complete distance
 is small enough.  Halves shared by many fingerprints would give all pairs of a group; for those,
 fingerprints meet at all values within one bit of themselves, where a star is enough.
-
-``similar_links`` is for pairs of a given similarity, whose fingerprints differ in many bits.  It
-compares the sets of shingles themselves, so it is exact but for collisions of 64-bit hashes: like
-sets share one of their rarest shingles, and pairs that do are checked by their full sets.
 """
 
 from __future__ import annotations
 
-import hashlib
-import math
 import re
 from collections.abc import Iterator
 
@@ -145,12 +139,6 @@ def _label(rows: DataFrame, each: DataFrame, linked: DataFrame) -> DataFrame:
     return rows.join(named, rows["fp"] == named["named"]).drop("named")
 
 
-#: Words of a shingle, the least Jaccard similarity of a near copy, and bits of the table of shingle counts.
-SHINGLE, SIMILARITY, COUNT_BITS = 5, 0.8, 18
-#: Rounds in which each text meets one other, before all that are still apart meet.
-ROUNDS = 3
-
-
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     """The distinct 64-bit hashes of each text's runs of ``size`` words (of all words where there are fewer)."""
     for _, data, offsets in blocks(column):
@@ -162,140 +150,3 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
             for j in range(k):
                 runs = runs * np.uint64(STEP) + own[j:j + len(runs)]
             yield np.unique(mixed(runs))
-
-
-def _shingle_counts(size: int, bits: int):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.int64)
-        for batch in batches:
-            found = list(shingle_sets(batch.column(0), size))
-            if found:
-                counts += np.bincount((np.concatenate(found) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used])], ["bucket", "n"])
-
-    return task
-
-
-def rarity(texts: DataFrame, size: int, bits: int = COUNT_BITS) -> np.ndarray:
-    """How many shingles of all ``texts`` fall into each bucket of hashes."""
-    table = texts.select("text").mapInArrow(_shingle_counts(size, bits), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most 2**bits rows
-    counts = np.zeros(1 << bits, np.int64)
-    counts[table["bucket"].to_numpy()] = table["n"].to_numpy()
-    return counts
-
-
-def _prefixes(size: int, similarity: float, counts: np.ndarray):
-    bits = len(counts).bit_length() - 1
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, digests, keys, places = [], [], [], []
-            for found in shingle_sets(batch.column(0), size):
-                common = counts[(found >> np.uint64(64 - bits)).astype(np.int64)]
-                order = np.lexsort((found, common))[:len(found) - math.ceil(similarity * len(found) - 1e-9) + 1]
-                order_counts = common[order]
-                place = np.flatnonzero(order_counts > 1)  # no other text has a shingle of a bucket that counts one
-                n.append(len(found))
-                digests.append(hashlib.md5(found.tobytes(), usedforsecurity=False).digest())
-                keys.append(found[order][place])
-                places.append(place)
-            ends = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).astype(t))) if x else pa.array([], pa.list_(pa.from_numpy_dtype(t)))
-                     for x, t in (([k.view(np.int64) for k in keys], np.int64), (places, np.int32))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), *lists], ["uid", "n", "digest", "keys", "places"])
-
-    return task
-
-
-def _sets(size: int):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = list(shingle_sets(batch.column(0), size))
-            ends = pa.array(np.concatenate(([0], np.cumsum([len(f) for f in found]))), pa.int32())
-            flat = pa.array(np.concatenate(found).view(np.int64)) if found else pa.array([], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(ends, flat)], ["uid", "set"])
-
-    return task
-
-
-def _possible(x: Column, y: Column, similarity: float) -> Column:
-    """Whether two texts (n, place) whose first common shingle has these places can share enough."""
-    least = F.ceil(F.lit(similarity / (1 + similarity)) * (x["n"] + y["n"]) - F.lit(1e-9))
-    return F.least(x["n"] - x["place"], y["n"] - y["place"]) >= least
-
-
-def alike(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of texts (uid, text) whose sets of shingles have a Jaccard similarity of ``similarity`` or more."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-    sets = staged(texts.join(asked, "uid", "left_semi").select("text", "uid").mapInArrow(_sets(size), "uid long, set array<long>"), "sets")
-    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-    same = F.size(F.array_intersect("set_a", "set_b"))
-    return both.where(same / (F.size("set_a") + F.size("set_b") - same) >= similarity).select("a", "b")
-
-
-def similar_links(texts: DataFrame, prefixes: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
-    """Links (a, b) that connect all texts (uid, text) whose sets of shingles are alike by ``similarity`` or more, and no others.
-
-    ``prefixes`` (uid, n, keys, places) holds the rarest shingles of each set, as many as a set may
-    lack of a like one, and one more.  Two sets that are alike share one of them (prefix filter),
-    and their first common one leaves enough behind it (positional filter); shingles that
-    many pages share come last in the order, so strangers of one template do not meet.  For a
-    few rounds each text meets one other: of the first ones of its buckets and those before it, the
-    one it shares most buckets with.  That joins large groups by few pairs.  Then all texts of a bucket that are not joined yet meet, so no pair is left out.
-    """
-    rows = prefixes.select("uid", "n", F.explode(F.arrays_zip("keys", "places")).alias("k")).select(F.col("k.keys").alias("key"), "uid", "n", F.col("k.places").alias("place"))
-    shared = staged(rows.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("rows > 1").drop("rows"), "buckets")
-    links = known = tried = None
-    me = F.struct("n", "place")
-
-    def rooted() -> DataFrame:
-        if known is None:
-            return shared.withColumn("root", F.col("uid"))
-        return shared.join(known.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-
-    def judge(pairs: DataFrame) -> None:
-        nonlocal links, known, tried
-        fresh_pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        fresh_pairs = staged(fresh_pairs if tried is None else fresh_pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = staged(alike(fresh_pairs, texts, size, similarity), "alike")
-        tried = fresh_pairs if tried is None else tried.unionByName(fresh_pairs)
-        links = found if links is None else links.unionByName(found)
-
-    for number in range(rounds):
-        order = Window.partitionBy("key").orderBy(*(["n", "uid"] if number == 0 else [F.xxhash64(F.lit(number), "uid"), "uid"]))
-        row = F.struct("uid", "n", "place", "root")
-        met = rooted().select("uid", "n", "place", "root", F.first(row).over(order).alias("first"), F.lag(row).over(order).alias("before"))
-        met = met.select("uid", "n", "place", "root", F.explode(F.array("first", "before")).alias("o"))
-        met = met.where((F.col("o.root") != F.col("root")) & _possible(me, F.col("o"), similarity)).groupBy("uid", F.col("o.uid").alias("other")).agg(F.count(F.lit(1)).alias("keys"))
-        judge(met.groupBy("uid").agg(F.max(F.struct("keys", "other")).alias("most")).select(F.col("uid").alias("x"), F.col("most.other").alias("y")))
-        known = components(links)
-    all_rows = staged(rooted(), "rooted")
-    sizes = all_rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows"))
-    leads = sizes.groupBy("key").agg(F.max(F.struct("rows", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", F.col("most.root").alias("lead"))
-    mixed_rows = staged(all_rows.join(leads, "key"), "mixed")  # of two texts with different roots, one at least is outside the lead
-    x = mixed_rows.where("root <> lead").select("key", F.struct("uid", "n", "place", "root", "lead").alias("x"))
-    y = mixed_rows.select("key", F.struct("uid", "n", "place", "root", "lead").alias("y"))
-    once = (F.col("y.root") == F.col("y.lead")) | (F.col("x.uid") < F.col("y.uid"))
-    judge(x.join(y, "key").where((F.col("x.root") != F.col("y.root")) & once & _possible(F.col("x"), F.col("y"), similarity)).select(F.col("x.uid").alias("x"), F.col("y.uid").alias("y")))
-    return links
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents with all their columns, less near copies: of each group of linked texts one stays, that with the smallest id.
-
-    Texts link at a Jaccard similarity of ``similarity`` or more of their sets of runs of ``size`` words,
-    and links are closed transitively.  Of texts with equal sets and ids one row stays; NULL ids
-    count last.  Texts without words are one group.
-    """
-    own = fresh(docs, "row_number")[0]
-    rows = staged(docs.withColumn(own, F.monotonically_increasing_id()), "numbered")
-    texts = rows.select(text_or_empty(text).alias("text"), F.col(own).alias("uid"))
-    ids = rows.select(F.col(own).alias("number"), F.col(doc_id).alias("id"))
-    prefixes = staged(texts.mapInArrow(_prefixes(size, similarity, rarity(texts, size)), "uid long, n int, digest binary, keys array<long>, places array<int>"), "prefixes")
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "number")
-    each = staged(prefixes.select("uid", "digest").join(ids, F.col("uid") == F.col("number")).groupBy("digest").agg(F.min(order).alias("first")).select(F.col("first.number").alias("uid"), "first"), "distinct")
-    linked = components(similar_links(texts, prefixes.join(each.select("uid"), "uid", "left_semi"), size, similarity))
-    rooted = each.select("uid", "first").join(linked, F.col("uid") == F.col("node"), "left")
-    stay = rooted.groupBy(F.coalesce("root", "uid").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.number").alias("stays"))
-    return rows.join(stay, F.col(own) == F.col("stays"), "left_semi").drop(own)

@@ -258,12 +258,16 @@ def ranges(archives: DataFrame, split: int = SPLIT) -> DataFrame:
         redo = again.where("redo").select("path", "number", "start", "end", F.greatest("proven_at", "start").alias("begin"), F.lit(True).alias("proven"))
         walked = staged(again.where("not redo").select("path", "number", "start", "end", "first", "last")
                         .unionByName(spread(redo).mapInArrow(_walk, schema)), "walked")
-    return marked.where("first is not null").select("path", "number", "start", "end", F.col("first").alias("begin"))
+    return staged(marked.where("first is not null").select("path", "number", "start", "end", F.col("first").alias("begin")), "proven")
+
+
+#: Tasks that ranges are dealt over at most.
+TASKS = 20_000
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """One range after another over all tasks."""
-    return rows.repartition("path", "number")
+    """One range after another over as many tasks as there are ranges, TASKS at most; with a number, so that small rows are not joined into one task."""
+    return rows.repartition(min(max(rows.count(), 1), TASKS), "path", "number")
 
 
 def _parse(path: str, offset: int, content: bytes, payloads: bool) -> Iterator[tuple]:
