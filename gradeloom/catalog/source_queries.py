@@ -10,7 +10,7 @@ from gradeloom import constants as K
 from gradeloom.catalog import SQL, query
 from gradeloom.catalog.cost_queries import runs_of
 from gradeloom.catalog.grid import grid_sql, prompts, results, table, wide
-from gradeloom.catalog.judge_queries import PAIRS, REPLIES, pairs, scores
+from gradeloom.catalog.judge_queries import PAIRS, REPLIES, _BIAS, pairs, scores
 from gradeloom.catalog.plan_queries import _LOG, _grid_jobs, output_lines, partial, phase_log
 from gradeloom.functions import jsonvalues as J
 from gradeloom.operators import audits, costs, judges, planning
@@ -246,16 +246,39 @@ def costliest_calls(spark, sf):
     return audits.top_rows(results(spark, sf).select("result_id", "cost_usd"), [F.desc("cost_usd"), F.col("result_id")], 25)
 
 
-@query("judge_audit_table", grid_sql(
-    "SELECT 'range' AS audit, 'all' AS subject, 'n' AS measure, CAST(count(score) AS DOUBLE) AS value FROM long UNION ALL "
-    "SELECT 'summary', judge, 'n_errors', CAST(count(judge_error) AS DOUBLE) FROM long GROUP BY judge UNION ALL "
-    "SELECT 'summary', judge, 'n_scored', CAST(count(*) AS DOUBLE) FROM long GROUP BY judge UNION ALL "
-    "SELECT 'disagreement', 'all', 'n_disagree', CAST(count(*) FILTER (WHERE dis) AS DOUBLE) FROM pairs UNION ALL "
-    "SELECT 'disagreement', 'all', 'n_pairs', CAST(count(*) AS DOUBLE) FROM pairs", REPLIES, PAIRS))
+def _unpivot(audit_name: str, subject: str, measures: list[str], body: str) -> str:
+    """Rows (audit, subject, measure, value) of a query, as ``judge_audit`` lays them out."""
+    values = ", ".join(f"CAST({m if m.isidentifier() and m != 'n' else chr(34) + m + chr(34)} AS DOUBLE)" for m in measures)
+    names = ", ".join(f"'{m}'" for m in measures)
+    return f"SELECT '{audit_name}' AS audit, {subject} AS subject, unnest([{names}]) AS measure, unnest([{values}]) AS value FROM ({body})"
+
+
+_AUDIT = " UNION ALL ".join([
+    _unpivot("summary", "judge", ["n_errors", "cost_usd", "n_scored", "p50_ms", "p95_ms", "cost_gbp"], (
+        "SELECT judge, count(*) AS n_scored, count(judge_error) AS n_errors, sum(cost_usd) AS cost_usd, sum(cost_usd) / CAST(1.27 AS DOUBLE) AS cost_gbp, max(latency_ms) FILTER (WHERE rn = cnt // 2) AS p50_ms, "
+        "max(latency_ms) FILTER (WHERE rn = CAST(floor(cnt * CAST(0.95 AS DOUBLE)) AS BIGINT)) AS p95_ms FROM (SELECT *, row_number() OVER (PARTITION BY judge ORDER BY latency_ms) - 1 AS rn, count(*) OVER (PARTITION BY judge) AS cnt FROM long) GROUP BY 1")),
+    _unpivot("range", "'all'", ["n", "n_in_range", "min_score", "max_score", "mean_score"],
+             "SELECT count(*) AS n, count(*) FILTER (WHERE score BETWEEN 0 AND 1) AS n_in_range, min(score) AS min_score, max(score) AS max_score, avg(score) AS mean_score FROM long WHERE score IS NOT NULL"),
+    _unpivot("buckets", "bucket", ["n", "pct"], (
+        "SELECT bucket, n, 100.0::DOUBLE * n / sum(n) OVER () AS pct FROM (SELECT CASE WHEN score = 1 THEN '1.00' WHEN score >= CAST(0.8 AS DOUBLE) THEN '0.80–0.99' WHEN score >= CAST(0.6 AS DOUBLE) THEN '0.60–0.79' "
+        "WHEN score >= CAST(0.4 AS DOUBLE) THEN '0.40–0.59' WHEN score >= CAST(0.2 AS DOUBLE) THEN '0.20–0.39' ELSE '0.00–0.19' END AS bucket, count(*) AS n FROM long WHERE score IS NOT NULL GROUP BY 1)")),
+    _unpivot("disagreement", "'all'", ["n_pairs", "n_complete", "n_disagree", "disagree_pct"],
+             "SELECT count(*) AS n_pairs, count(delta) AS n_complete, count(*) FILTER (WHERE dis) AS n_disagree, 100.0::DOUBLE * count(*) FILTER (WHERE dis) / count(delta) AS disagree_pct FROM pairs"),
+    _unpivot("calibration", "family", ["mean_a", "n_a", "mean_b", "n_b", "delta", "flagged"], (
+        "SELECT *, mean_a - mean_b AS delta, abs(mean_a - mean_b) > CAST(0.05 AS DOUBLE) AS flagged FROM (SELECT CASE WHEN model LIKE 'claude%' THEN 'Anthropic' ELSE 'OpenAI' END AS family, "
+        "avg(a) AS mean_a, count(a) AS n_a, avg(b) AS mean_b, count(b) AS n_b FROM pairs GROUP BY 1)")),
+    _unpivot("occupancy", "model", [*K.POSITION_LABELS, "n_calls", "expected"], "SELECT model, " + ", ".join(f"count(*) FILTER (WHERE label = '{x}') AS \"{x}\"" for x in K.POSITION_LABELS)
+             + ", count(*) AS n_calls, count(*) / CAST(4 AS DOUBLE) AS expected FROM slots WHERE (prompt_id, lever) IN (SELECT (prompt_id, lever) FROM long) GROUP BY model"),
+    _unpivot("position_bias", "judge || '/' || model || '/' || position", ["n", "slot_mean", "row_mean", "deviation", "flagged"], (
+        "SELECT *, slot_mean - row_mean AS deviation, abs(slot_mean - row_mean) > CAST(0.03 AS DOUBLE) AS flagged FROM (SELECT *, avg(slot_mean) OVER (PARTITION BY judge, model) AS row_mean FROM slot)")),
+])
+
+
+@query("judge_audit_table", grid_sql("SELECT audit, subject, measure, round(value, 6) AS value FROM (" + _AUDIT + ")", REPLIES, PAIRS, _BIAS))
 def judge_audit_table(spark, sf):
-    """The whole judge audit as one table; the measures with a plain SQL form are compared."""
+    """The whole judge audit as one table."""
     df = audit.judge_audit(scores(spark, sf), pairs(spark, sf), judges.position_map(scores(spark, sf).select("prompt_id", "lever").distinct()))
-    return df.where("(audit = 'range' AND measure = 'n') OR (audit = 'summary' AND measure IN ('n_errors', 'n_scored')) OR (audit = 'disagreement' AND measure IN ('n_disagree', 'n_pairs'))")
+    return df.withColumn("value", F.round("value", 6))
 
 
 @query("approx_latency", grid_sql(

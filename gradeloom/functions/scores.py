@@ -115,11 +115,6 @@ def budget_tier_size(tier: Column) -> Column:
     return F.when(tier == K.BUDGET_TIER_DEFAULT, F.lit(0).cast("long")).otherwise(out)
 
 
-def is_experimental(config: Column) -> Column:
-    """TRUE if the configuration marks the row as a side experiment."""
-    return F.get_json_object(config, "$.experimental_comparison").eqNullSafe(F.lit("true"))
-
-
 def annotate_config(config: Column, model: Column) -> Column:
     """Add the default reasoning effort to the configuration of models whose family has one."""
     base = F.coalesce(F.from_json(config, "map<string,variant>"), F.create_map().cast("map<string,variant>"))

@@ -180,6 +180,16 @@ def missing_sides(results: DataFrame, models: list[str] = K.TEST_MODELS) -> Data
                       (~F.col("missing_a")).alias("skip_a"), (~F.col("missing_b")).alias("skip_b"))
 
 
+def missing_panel_sides(results: DataFrame, sides: list[str], models: list[str] = K.TEST_MODELS) -> DataFrame:
+    """``missing_sides`` for a panel of any judges: complete groups with the ``sides`` that have not scored every row, and those to skip."""
+    df = results.where(F.col("task_category").isin(K.JUDGED_CATEGORIES))
+    gaps = [F.bool_or(F.col(f"judge_{s}_score").isNull()).alias(f"_{s}") for s in sides]
+    out = df.groupBy("run_id", "prompt_id", F.col("optimisation_lever").alias("lever")).agg(F.count_distinct("model").alias("n_models"), *gaps)
+    listed = lambda missing: F.array_compact(F.array(*[F.when(F.col(f"_{s}") == missing, F.lit(s)) for s in sides]))
+    out = out.where(F.col("n_models") >= len(models)).select("run_id", "prompt_id", "lever", listed(True).alias("missing"), listed(False).alias("skip"))
+    return out.where(F.size("missing") > 0)
+
+
 def flagged_groups(results: DataFrame) -> DataFrame:
     """Distinct (run, prompt, lever) groups with a flagged row."""
     return (results.where(F.col("judge_disagreement_flag") == 1)

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from gradeloom import constants as K
-from gradeloom.operators import judges, resolve, tier1
-from gradeloom.sources.cases import disagreement_cases
+from gradeloom.operators import resolve, tier1
 
 
 def rescored(results: DataFrame, prompts: DataFrame) -> DataFrame:
@@ -14,17 +12,6 @@ def rescored(results: DataFrame, prompts: DataFrame) -> DataFrame:
     return tier1.score_tier1(results, prompts)
 
 
-def canonical_from_replies(replies: DataFrame, judge_a: str, judge_b: str) -> tuple[DataFrame, DataFrame]:
-    """Judge calls to paired scores and resolved disagreement cases.
-
-    Cases above the automatic threshold stay open until someone scores them.
-    """
-    pairs = judges.pair_and_flag(judges.explode_judge_replies(replies), judge_a, judge_b)
-    cases = disagreement_cases(pairs)
-    numeric = cases.withColumns({c: cases[c].try_cast("double") for c in ("judge_a_score", "judge_b_score")})
-    return pairs, resolve.auto_resolve(numeric, K.AUTO_RESOLVE_DELTA)
-
-
 def final_scores(results: DataFrame, cases: DataFrame) -> DataFrame:
     """Results with their canonical score filled in."""
     return resolve.populate_canonical(results, cases)[0]
