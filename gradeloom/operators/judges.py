@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeloom import constants as K
@@ -38,15 +40,18 @@ def position_map(groups: DataFrame, models: list[str] = K.TEST_MODELS) -> DataFr
 def group_responses(results: DataFrame, models: list[str] = K.TEST_MODELS) -> DataFrame:
     """One row per (run, prompt, lever) with ``texts`` (model -> latest judge-able response) and ``n_models``.
 
-    One partial aggregate per model, so repeated attempts shrink before the shuffle.
+    The winners are picked on narrow rows; texts then move once, to their group, and only those of winners are gathered.
     """
     df = judgeable(results).withColumnRenamed("optimisation_lever", "lever").where(F.col("model").isin(models))
     latest = F.struct("run_attempt", "result_id")
-    slots = {m: F.max_by("response_text", F.when(F.col("model") == m, latest)) for m in models}
-    df = df.groupBy(*GROUP).agg(*[agg.alias(f"_t{i}") for i, agg in enumerate(slots.values())])
-    texts = F.map_from_arrays(F.array(*map(F.lit, models)), F.array(*[F.col(f"_t{i}") for i in range(len(models))]))
-    n = sum((F.col(f"_t{i}").isNotNull().cast("int") for i in range(len(models))), F.lit(0))
-    return df.select(*GROUP, texts.alias("texts"), n.alias("n_models"))
+    best = df.groupBy(*GROUP).agg(*[F.max(F.when(F.col("model") == m, latest)).alias(f"_b{i}") for i, m in enumerate(models)])
+    winners = best.select(*[F.col(c).alias(f"_{c}") for c in GROUP], F.map_from_arrays(F.array(*map(F.lit, models)), F.array(*[f"_b{i}" for i in range(len(models))])).alias("_best"))
+    on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in GROUP])
+    won = df.join(winners, on).where(latest.eqNullSafe(F.try_element_at("_best", F.col("model"))) & F.col("response_text").isNotNull())
+    said = won.groupBy(*GROUP).agg(F.collect_list(F.struct("model", "response_text")).alias("_s"))
+    text = lambda m: F.array_max(F.transform(F.filter("_s", lambda x: x["model"] == m), lambda x: x["response_text"]))
+    texts = F.map_from_arrays(F.array(*map(F.lit, models)), F.array(*[text(m) for m in models]))
+    return said.select(*GROUP, texts.alias("texts"), F.size(F.array_distinct(F.transform("_s", lambda x: x["model"]))).alias("n_models"))
 
 
 def complete_groups(results: DataFrame, models: list[str] = K.TEST_MODELS) -> DataFrame:

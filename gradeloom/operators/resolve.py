@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gradeloom import constants as K
 from gradeloom.functions import scores as S, text as T
-from gradeloom.operators.ordered import position
+from gradeloom.operators.ordered import running_total
 
 CASE_KEY = ["prompt_id", "model", "lever"]
 
@@ -65,12 +67,11 @@ def arbitration_queue(cases: DataFrame, mode: str = "compression-first", cluster
     first, then prompt and model.
     """
     df = with_delta(cases)
-    tail = [F.desc("delta"), F.col("prompt_id"), F.col("model"), F.col("lever")]
     if mode == "shuffle":
-        key = F.sha2(F.concat_ws("|", F.lit(str(seed)), *CASE_KEY), 256)
-        return position(df.withColumn("_o", key), [], [F.col("_o"), *tail[1:]], slices=slices).drop("_o")
+        return _queued(df, [F.sha2(F.concat_ws("|", F.lit(str(seed)), *CASE_KEY), 256)], slices)
+    widest = -F.col("delta")
     if mode == "cluster":
-        return position(df.where(in_cluster(cluster)), [], tail, slices=slices)
+        return _queued(df.where(in_cluster(cluster)), [widest], slices)
     if mode == "by-category":
         names = [K.PREFIX_CATEGORY.get(c, c) for c in categories]
         rank = F.array_position(F.array(*map(F.lit, names)), T.category_of(F.col("prompt_id")))
@@ -79,7 +80,23 @@ def arbitration_queue(cases: DataFrame, mode: str = "compression-first", cluster
         block = F.when(F.col("lever") == "compression", F.lit(0)).otherwise(F.lit(1))
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    return position(df.withColumn("_b", block), [], [F.col("_b"), *tail], slices=slices).drop("_b")
+    return _queued(df, [block, widest], slices)
+
+
+def _queued(df: DataFrame, order: list[Column], slices: int | None) -> DataFrame:
+    """Add ``pos`` along ``order`` (NULLs last), then the case's key.
+
+    Only keys and order are put in order and kept; the cases, with their texts, are joined to their places.
+    Cases that share a key and place follow each other.
+    """
+    names = [f"_o{i}" for i in range(len(order))]
+    rows = df.withColumns(dict(zip(names, order)))
+    by = [*names, *CASE_KEY]
+    counted = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    places = running_total(counted, [], [F.asc_nulls_last(c) for c in by], {"_upto": F.col("_n")}, slices).select(*[F.col(c).alias(f"_p{c}") for c in by], (F.col("_upto") - F.col("_n")).alias("_from"))
+    on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_p{c}")) for c in by])
+    same = Window.partitionBy(*by).orderBy(F.lit(1))
+    return rows.join(places, on).withColumn("pos", F.col("_from") + F.row_number().over(same) - 1).select(*df.columns, "pos")
 
 
 def resume_position(queue: DataFrame) -> DataFrame:
