@@ -238,7 +238,10 @@ def links(prints: DataFrame, texts: DataFrame, size: int = SHINGLE, similarity:
         tried, known = tried.unionByName(new), components(found)
 
     for number in range(rounds):
-        near = _leaders(rooted(), number, LEADERS).where(F.col("far") <= SKETCH_BITS).groupBy("uid", "other").agg(F.min("far").alias("far"))
+        apart = rooted()
+        if apart.isEmpty():
+            return known
+        near = _leaders(apart, number, LEADERS).where(F.col("far") <= SKETCH_BITS).groupBy("uid", "other").agg(F.min("far").alias("far"))
         ranks = Window.partitionBy("uid").orderBy("far", "other")  # a text has few leaders
         judge(near.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= NEAREST).select(F.col("uid").alias("x"), F.col("other").alias("y")))
     left = rooted()

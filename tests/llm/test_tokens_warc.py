@@ -12,6 +12,7 @@ from urllib.parse import quote
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from pyarrow import fs
 
 from gradeloom.llm import packing, token_counts, tokens, warc
@@ -170,3 +171,11 @@ def test_damage_costs_only_the_damaged_record_and_is_reported(spark, split):
     rows = warc.read(warc.archives_in(spark, folder), split).collect()
     assert sorted(r.page_id for r in rows if r.error is None) == [i for i in range(30) if i != 7]
     assert any(r.error for r in rows)
+
+
+def test_ranges_are_dealt_over_tasks(spark):
+    from gradeloom.llm import warc
+
+    rows = spark.range(200).select(F.lit("path").alias("path"), F.col("id").cast("int").alias("number"), F.lit(0).cast("long").alias("start"))
+    dealt = warc.spread(rows).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(dealt) > 100 and max(r["count"] for r in dealt) < 10
